@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from boughs.session import ship_code
+
 #: Java and Python regular expressions agree on this class: blank, and tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
@@ -89,3 +91,9 @@ def numbered(df: DataFrame, group: list[str], order: list[Column], fine: Column,
     for x in same[1:]:
         on = on & x
     return local.join(starts, on).withColumn(out, F.col("__start") + F.col("__row") - 1).drop("__start", "__row", "__fine", *[f"__s{i}" for i in range(len(keys))])
+
+
+def small_batches(spark: SparkSession, rows: int = 256) -> None:
+    """Ready a session for operators in Python: whole texts go there, so an Arrow batch must hold few of them."""
+    ship_code(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, mixing, quality_rules, sharding
+from . import chat_format, decontam, mixing, quality_model, quality_rules, sharding, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,23 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_digest(_table(spark, sf_dir, "documents"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination_digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_files.token_digest(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op8_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    net = quality_model.fit(docs, labels.where(~quality_model.held_out()))
+    scored = quality_model.score(docs, net, keep=["doc_id"])
+    return scored.select("doc_id", quality_model.held_out().alias("held_out"), "score", "predicted")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned = mixing.plan(_table(spark, sf_dir, "documents"))
     return planned.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
@@ -33,13 +50,14 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_chat_format, op5_sharding, op9_mixing, op10_quality_rules)}
+    return {f.__name__: f for f in (op2_chat_format, op5_sharding, op6_decontamination, op7_token_files, op8_quality_model, op9_mixing, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_chat_format": chat_format.op2_sql(),
         "op5_sharding": sharding.op5_sql(),
+        "op6_decontamination": decontam.op6_sql(),
         "op9_mixing": mixing.op9_sql(),
         "op10_quality_rules": quality_rules.op10_sql(),
     }
