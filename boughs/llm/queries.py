@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontam, mixing, quality_model, quality_rules, sharding, token_files
+from . import chat_format, decontam, minhash, mixing, quality_model, quality_rules, sharding, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=2, similarity=80)
+
+
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.format_digest(_table(spark, sf_dir, "conversations"))
 
@@ -50,11 +54,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_chat_format, op5_sharding, op6_decontamination, op7_token_files, op8_quality_model, op9_mixing, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_minhash, op2_chat_format, op5_sharding, op6_decontamination, op7_token_files, op8_quality_model, op9_mixing, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_minhash": minhash.op1_sql(),
         "op2_chat_format": chat_format.op2_sql(),
         "op5_sharding": sharding.op5_sql(),
         "op6_decontamination": decontam.op6_sql(),
