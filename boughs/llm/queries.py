@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontam, minhash, mixing, quality_model, quality_rules, sharding, token_files
+from . import chat_format, decontam, lm_score, minhash, mixing, quality_model, quality_rules, sharding, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.format_digest(_table(spark, sf_dir, "conversations"))
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_digest(_table(spark, sf_dir, "documents"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_digest(_table(spark, sf_dir, "documents"))
 
@@ -54,7 +58,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash, op2_chat_format, op5_sharding, op6_decontamination, op7_token_files, op8_quality_model, op9_mixing, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_minhash, op2_chat_format, op3_lm_score, op5_sharding, op6_decontamination, op7_token_files, op8_quality_model, op9_mixing, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
