@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontam, lm_score, minhash, mixing, quality_model, quality_rules, sharding, token_files
+from . import chat_format, decontam, lm_score, minhash, mixing, quality_model, quality_rules, sharding, suffix_dedup, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,11 @@ def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score_digest(_table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_digest(_table(spark, sf_dir, "documents"))
 
@@ -58,13 +63,14 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash, op2_chat_format, op3_lm_score, op5_sharding, op6_decontamination, op7_token_files, op8_quality_model, op9_mixing, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_minhash, op2_chat_format, op3_lm_score, op4_suffix_dedup, op5_sharding, op6_decontamination, op7_token_files, op8_quality_model, op9_mixing, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_minhash": minhash.op1_sql(),
         "op2_chat_format": chat_format.op2_sql(),
+        "op4_suffix_dedup": suffix_dedup.op4_sql(),
         "op5_sharding": sharding.op5_sql(),
         "op6_decontamination": decontam.op6_sql(),
         "op9_mixing": mixing.op9_sql(),
