@@ -41,6 +41,8 @@ SCHEMA = "part int, block int, first long, n_ids long, bits int, doc_ids array<l
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
     """Fixed-width packing, most significant bit first."""
+    if bits in (8, 16, 32):
+        return ids.astype(f">u{bits // 8}").tobytes()
     out = [np.packbits(((ids[i : i + 65536, None] >> np.arange(bits - 1, -1, -1, dtype=np.uint32)) & 1).astype(np.uint8).ravel()) for i in range(0, len(ids), 65536)]
     return b"".join(x.tobytes() for x in out)
 
@@ -49,6 +51,8 @@ def unpack(payload: bytes, bits: int, start: int, stop: int) -> np.ndarray:
     """Ids start..stop of a payload as uint32, from the bytes that hold them alone."""
     if stop <= start:
         return np.zeros(0, np.uint32)
+    if bits in (8, 16, 32):
+        return np.frombuffer(payload, f">u{bits // 8}")[start:stop].astype(np.uint32)
     raw = np.frombuffer(payload, np.uint8)
     at = np.arange(start, stop, dtype=np.int64) * bits
     first, shift = at >> 3, (at & 7).astype(np.uint64)
@@ -62,65 +66,78 @@ def unpack(payload: bytes, bits: int, start: int, stop: int) -> np.ndarray:
     return ((word << shift) >> np.uint64(64 - bits)).astype(np.uint32)
 
 
-_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
-_PLAIN = re.compile(rf"( ?[{_LETTERS}]+)([.,!?;:]*)(?:(\n)([{_LETTERS}]+)([.,!?;:]*))?")
-_RUN = re.compile(r"\s \s")
+#: A word that byte-level vocabularies always cut off from what stands around it: Latin letters, whole, with a
+#: blank before them, or after ASCII punctuation, a lone line end or nothing. (White space before a word without a
+#: blank is cut in a way that depends on the word, and an apostrophe may be part of a contraction.)
+_SAFE = re.compile(r"((?: |(?<=[!-&(-@\[-`{-~])|(?<=\S\n)|\A)[A-Za-zÀ-ÖØ-öø-ÿ]++(?=[\x00-\x7f]|\Z))")
 
 
 class ChunkEncoder:
-    """A tokenizer's ids by chunks of text, which are remembered.
+    """A tokenizer's ids, by words and what stands between them, which are remembered.
 
-    Byte-level vocabularies of this kind never join a blank with what precedes
-    it, unless white space stands on both sides. Where that or a special token's
-    string occurs, the whole text goes to the tokenizer instead.
+    The tokenizer itself encodes whatever is new. A text with a special token's
+    string goes to it whole, as do all texts if it isn't of the byte-level kind.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        kind = self.tokenizer.pre_tokenizer
-        self.chunked = type(kind).__name__ == "ByteLevel" and self.tokenizer.normalizer is None and not kind.add_prefix_space
-        self.young: dict[str, bytes] = {}
+        self.tokenizer = t = Tokenizer.from_file(path)
+        self.special = [x.content for x in t.get_added_tokens_decoder().values()]
+        kind = t.pre_tokenizer
+        self.chunked = type(kind).__name__ == "ByteLevel" and t.normalizer is None and not kind.add_prefix_space
+        # One character stands for one byte in the names of such a vocabulary.
+        vocab = t.get_vocab(with_added_tokens=False)
+        self.bytes_of = np.zeros(max(vocab.values()) + 1, np.int64)
+        for name, i in vocab.items():
+            self.bytes_of[i] = len(name)
+        self.young: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
 
     def _raw(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _joined(self, words: list[str]) -> list[bytes]:
+        """Ids of words that start with a blank: encoded in a row, and told apart by the bytes the ids stand for."""
+        out = []
+        for i in range(0, len(words), 256):
+            part = words[i : i + 256]
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.cumsum([len(w.encode()) for w in part])
+            cuts = (np.searchsorted(np.cumsum(self.bytes_of[ids]), ends) + 1) * 4
+            raw, at = ids.tobytes(), 0
+            for cut in cuts.tolist():
+                out.append(raw[at:cut])
+                at = cut
+        return out
 
-    def _learn(self, chunks: set[str]) -> None:
-        """Put chunks into the young generation: from the old one, from their parts, or from the tokenizer."""
+    def _learn(self, parts: set[str]) -> None:
         young, old = self.young, self.old
-        made, need = [], set()
-        for c in chunks:
-            if (known := old.get(c)) is not None:
-                young[c] = known
-            elif m := _PLAIN.fullmatch(c):
-                parts = [p for p in m.groups() if p]
-                made.append((c, parts))
-                need.update(p for p in parts if p not in young)
+        fresh = []
+        for p in parts:
+            if (known := old.get(p)) is None:
+                fresh.append(p)
             else:
-                need.add(c)
-        fresh = [p for p in need if p not in old]
-        young.update((p, old[p]) for p in need if p in old)
-        young.update(zip(fresh, self._raw(fresh), strict=True))
-        for c, parts in made:
-            young[c] = b"".join([young[p] for p in parts])
+                young[p] = known
+        words = [p for p in fresh if p[0] == " " and p[1:].isalpha()]
+        rest = [p for p in fresh if not (p[0] == " " and p[1:].isalpha())]
+        young.update(zip(words, self._joined(words), strict=True))
+        young.update(zip(rest, self._raw(rest), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Per text its ids as little-endian unsigned 32-bit integers."""
         if not self.chunked:
             return self._raw(texts)
-        cut = [None if _RUN.search(t) or "\x00" in t or any(s in t for s in self.special) else t.replace(" ", "\x00 ").split("\x00") for t in texts]
+        split = _SAFE.split
+        cut = [None if any(s in t for s in self.special) else split(t) for t in texts]
         young = self.young
-        if missing := {c for chunks in cut if chunks for c in chunks if c not in young}:
+        if missing := {p for parts in cut if parts for p in parts}.difference(young):
             self._learn(missing)
-        young = self.young
-        whole = iter(self._raw([t for t, chunks in zip(texts, cut, strict=True) if chunks is None]))
-        out = [next(whole) if chunks is None else b"".join(map(young.__getitem__, chunks)) for chunks in cut]
+        whole = iter(self._raw([t for t, parts in zip(texts, cut, strict=True) if parts is None]))
+        out = [next(whole) if parts is None else b"".join(map(young.__getitem__, parts)) for parts in cut]
         if len(young) > CACHED:
-            self.old, self.young = young, {}
+            self.old, self.young = young, {"": b""}
         return out
 
 
