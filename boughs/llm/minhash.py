@@ -9,10 +9,11 @@ probability, with the concentration of T independent draws.
 Banding: documents that agree in all coordinates of a band are candidates. With
 40 bands of 6 a pair at similarity 0.8 is missed with probability 5e-6.
 
-Verification: no bucket is capped and none emits all its pairs. Buckets whose
-documents are known to be one component are done. In the others a growing share
-of the documents, chosen by a hash, are hubs, which are compared with all other
-documents of the bucket that aren't in their component yet; at last all are, so
+Verification: no bucket is capped and no large one emits all its pairs. Buckets
+whose documents are known to be one component are done. In the others a document
+or so, chosen by a hash, is a hub, which is compared with all others, first in a
+few bands, then in all. In what large buckets are then not one component, parts
+of bounded size are compared as a whole, by matrix products of their sets. So
 each pair of a bucket is either compared on full sets or connected already.
 """
 
@@ -32,6 +33,10 @@ from .hashing import U, WordHashes, mix, shingles
 BANDS, ROWS = 40, 6
 #: Bands that are compared first, with one hub a bucket: they connect most of every large group.
 FIRST_BANDS = 8
+#: Buckets of so many documents are compared pair by pair, larger ones in parts of about so many.
+SMALL, PART = 32, 512
+#: Shingles that are compared at once.
+STRIP = 2048
 
 _seeds = mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=U) * U(0xD1342543DE82EF95))
 
@@ -113,6 +118,39 @@ def _verified(similarity: int):
     return run
 
 
+def _blocks_verified(similarity: int):
+    """All pairs of two parts of a bucket, or of one part, that have unlike labels, on full sets."""
+
+    def run(table: pa.Table) -> pa.Table:
+        part = np.array(table.column("part").to_pylist())
+        label = np.array(table.column("label").to_pylist(), np.int64)
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        rows, cols = np.flatnonzero(part == i), np.flatnonzero(part == j)
+        links: set[tuple[int, int]] = set()
+        if len(rows) and len(cols) and len(np.unique(label)) > 1:
+            sets = [np.frombuffer(x, U) for x in table.column("set").to_pylist()]
+            size = np.array([len(x) for x in sets], np.int64)
+            known, place = np.unique(np.concatenate(sets), return_inverse=True)
+            owner = np.repeat(np.arange(len(sets)), size)
+            common = np.zeros((len(rows), len(cols)), np.float32)
+            # A strip of shingles at a time, so memory stays the same for long texts.
+            order = np.argsort(place, kind="stable")
+            edges = np.searchsorted(place[order], np.arange(0, len(known) + STRIP, STRIP))
+            for k in range(len(edges) - 1):
+                at = order[edges[k] : edges[k + 1]]
+                strip = np.zeros((len(sets), STRIP), np.float32)
+                strip[owner[at], place[at] - k * STRIP] = 1
+                common += strip[rows] @ strip[cols].T
+            common = common.astype(np.int64)
+            either = size[rows][:, None] + size[cols][None] - common
+            x, y = np.nonzero((100 * common >= similarity * either) & (label[rows][:, None] != label[cols][None]))
+            found = np.stack([label[rows][x], label[cols][y]], axis=1)
+            links = set(map(tuple, np.unique(np.sort(found, axis=1), axis=0).tolist()))
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+
+    return run
+
+
 def components(edges: DataFrame, stash: Stash, name: str) -> DataFrame:
     """(node, label): the least node each node of the edges (a, b) is connected with.
 
@@ -178,29 +216,30 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: int = 80, tex
         labels = _relabelled(ids.withColumn("label", F.col("node")), merged)
         labels = stash.keep(labels, "labels-repeated")
 
-    turn, low, high = 0, 0.0, 1.0
-    while True:
-        first = not turn
+    for turn in range(3):
         now = members.join(labels, "node")
-        if first:
+        if turn == 0:
             now = now.where(F.pmod(F.col("key"), F.lit(256)) < FIRST_BANDS)
+        elif turn == 2:
+            now = now.where(F.col("size") > SMALL)
         unlike = now.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("key")
         now = stash.keep(now.join(unlike, "key"), f"open-{turn}")
-        if not first and now.isEmpty():
-            break
-        hubs = now.where((F.col("draw") >= low) & (F.col("draw") < high)).select("key", F.col("node").alias("hub"), F.col("n").alias("hn"), F.col("draw").alias("hdraw"), F.col("label").alias("la"))
-        later = (F.col("draw") > F.col("hdraw")) | ((F.col("draw") == F.col("hdraw")) & (F.col("node") > F.col("hub")))
-        near = (100 * F.least("n", "hn") >= similarity * F.greatest("n", "hn")) & (F.col("label") != F.col("la")) & later
-        pairs = now.join(hubs, "key").where(near).select("hub", "node", "la", F.col("label").alias("lb")).distinct()
-        compared = pairs.join(sets.select("node", F.col("set").alias("x")), "node").join(sets.select(F.col("node").alias("hub"), F.col("set").alias("y")), "hub").select("la", "lb", "x", "y")
-        found = stash.keep(compared.mapInArrow(_verified(similarity), "a long, b long").distinct(), f"links-{turn}")
+        if turn < 2:
+            every = F.lit(False) if turn == 0 else F.col("size") <= SMALL
+            hubs = now.where(every | (F.col("draw") < 1)).select("key", F.col("node").alias("hub"), F.col("n").alias("hn"), F.col("draw").alias("hdraw"), F.col("label").alias("la"))
+            later = (F.col("draw") > F.col("hdraw")) | ((F.col("draw") == F.col("hdraw")) & (F.col("node") > F.col("hub")))
+            near = (100 * F.least("n", "hn") >= similarity * F.greatest("n", "hn")) & (F.col("label") != F.col("la")) & later
+            pairs = now.join(hubs, "key").where(near).select("hub", "node", "la", F.col("label").alias("lb")).distinct()
+            found = pairs.join(sets.select("node", F.col("set").alias("x")), "node").join(sets.select(F.col("node").alias("hub"), F.col("set").alias("y")), "hub").select("la", "lb", "x", "y").mapInArrow(_verified(similarity), "a long, b long")
+        else:
+            parts = F.ceil(F.col("size") / PART).cast("int")
+            placed_in = now.withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int")).join(sets, "node")
+            dealt = placed_in.select("key", "label", "set", "part", F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
+            dealt = dealt.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), F.col("part"), "label", "set")
+            found = dealt.groupBy("key", "i", "j").applyInArrow(_blocks_verified(similarity), "a long, b long")
+        found = stash.keep(found.distinct(), f"links-{turn}")
         if not found.isEmpty():
             labels = stash.keep(_relabelled(labels, components(found, stash, f"components-{turn}")), f"labels-{turn}")
-        # A bucket whose documents have all been hubs is done; the others, where still open, go on.
-        if not first:
-            members = now.where(F.col("size") > high).drop("label")
-        low, high = (0.0, 4.0) if first else (high, high * 4)
-        turn += 1
 
     final = placed.select("doc_id", "n", "node").join(labels, "node", "left").select("doc_id", "n", F.coalesce("label", "node").alias("component_id"))
     alone = all_.where("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
