@@ -14,6 +14,7 @@ import json
 import warnings
 from collections.abc import Callable, Iterable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,6 +26,7 @@ from boughs.operators.records import DOC
 from boughs.plans import variants
 from boughs.plans.paths import Depth, Path, compile_path, parse_cursor, quoted
 from boughs.plans.schema import Schema, from_spark, to_spark
+from boughs.session import ship_code
 from boughs.sources import memory
 
 Cursor = Depth | list[Depth] | None
@@ -329,6 +331,10 @@ class _Base:
             return self.df.select(*[typed.at(self.df, p).alias(p[-1]) for p in many])
         return self.df.select(*[_doc_value(p).alias(p[-1]) for p in many])
 
+    def numbered(self, out: str = "place") -> DataFrame:
+        """All fields, with each record's place from 0."""
+        return order.dense(self.df, out).drop(POS)
+
     def __iter__(self) -> Iterator:
         ordered = self.df.orderBy(POS)
         if not self.typed:
@@ -525,10 +531,6 @@ def _doc_value(cursor: Cursor) -> Column:
 
 def _typed_call(df: DataFrame, cursor: Cursor, func: Callable, returns: str, overwrite: bool) -> DataFrame:
     """A Python function over the projected values in Arrow batches: bools filter, other results are written."""
-    import pandas as pd
-
-    from boughs.session import ship_code
-
     ship_code(df.sparkSession)
     args = typed.arguments(df, cursor)
 
