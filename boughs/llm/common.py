@@ -15,6 +15,9 @@ from boughs.session import ship_code
 WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
 
+#: Spark deletes the shuffle files of a query once it has ended. What is written isn't run again, so it needs none.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _own_folder: dict[str, str] = {}
 
 
@@ -40,7 +43,12 @@ class Stash:
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
-        df.write.parquet(path)
+        before = self.spark.conf.get(CLEANUP)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(CLEANUP, before)
         release(self.spark)
         return self.spark.read.schema(df.schema).parquet(path)
 
