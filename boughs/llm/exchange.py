@@ -10,6 +10,7 @@ and positions need not be sent, as both sides keep the order.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,3 +40,18 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     keys, counts = keys[order], counts[order]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     return keys[first], np.add.reduceat(counts, first)
+
+
+def packed(values: np.ndarray, ascending: bool = False) -> bytes:
+    """An array in few bytes: differences if it ascends, byte planes, zstd. Element sizes are 4 and 8."""
+    if ascending and len(values):
+        values = np.concatenate([values[:1], values[1:] - values[:-1]])
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T
+    return len(values).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(raw: bytes, dtype, ascending: bool = False) -> np.ndarray:
+    n, size = int.from_bytes(raw[:8], "little"), np.dtype(dtype).itemsize
+    planes = np.frombuffer(pa.decompress(memoryview(raw)[8:], n * size, codec="zstd", asbytes=True), np.uint8)
+    values = np.ascontiguousarray(planes.reshape(size, n).T).reshape(-1).view(dtype)
+    return np.cumsum(values, dtype=dtype) if ascending else values

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Stash, blocks_for, small_batches
-from .exchange import sorted_lookup, summed, with_blocks
+from .exchange import packed, sorted_lookup, summed, unpacked, with_blocks
 from .hashing import U, WordHashes, mix
 
 ORDER = 5
@@ -31,7 +31,7 @@ EDGE = 256
 SYMBOLS = 257
 BITS = 9
 #: Positions that are sorted at once.
-SLICE = 1 << 20
+SLICE = 1 << 19
 WORDS, GRAMS, PAIRS, TOTALS = 0, 1, 2, 3
 BUCKETS = 64
 
@@ -67,7 +67,7 @@ class Block:
             for j in range(n):
                 key = (key << U(BITS)) | self.symbols[a + j : b + j]
             distinct, place = np.unique(key[inside], return_inverse=True)
-            yield distinct, place, doc[inside]
+            yield distinct, place.astype(np.int32), doc[inside].astype(np.int32)
 
 
 def _gram_bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -117,7 +117,7 @@ def _ask(order: int, buckets: int):
         out = []
         for kind, (keys, counts) in _distinct(block, train).items():
             for bucket, at in _split(keys, _BUCKET_OF[kind](keys, buckets)):
-                out.append((kind, bucket, number, keys[at].tobytes(), counts[at].astype(np.int32).tobytes()))
+                out.append((kind, bucket, number, packed(keys[at], True), packed(counts[at].astype(np.int32))))
             if kind == GRAMS:
                 pairs = summed(keys & U((1 << 2 * BITS) - 1), counts)
                 out.append((PAIRS, 0, number, pairs[0].tobytes(), pairs[1].tobytes()))
@@ -188,15 +188,15 @@ def _answer(order: int, pairs: tuple[np.ndarray, np.ndarray]):
     def run(table: pa.Table) -> pa.Table:
         kind, bucket = table.column("kind")[0].as_py(), table.column("bucket")[0].as_py()
         blocks = table.column("block").to_pylist()
-        asked = [np.frombuffer(x, U) for x in table.column("keys").to_pylist()]
-        keys, counts = summed(np.concatenate(asked), np.concatenate([np.frombuffer(x, np.int32) for x in table.column("counts").to_pylist()]).astype(np.int64))
+        asked = [unpacked(x, U, True) for x in table.column("keys").to_pylist()]
+        keys, counts = summed(np.concatenate(asked), np.concatenate([unpacked(x, np.int32) for x in table.column("counts").to_pylist()]).astype(np.int64))
         if kind == WORDS:
             values = counts
             # How many words of this bucket were learned.
             blocks, asked = [*blocks, -1], [*asked, None]
         else:
             values = log10_probability(keys, build(keys, counts, order, pairs), order).astype(np.float32)
-        answers = [values[np.searchsorted(keys, a)].tobytes() if a is not None else np.array([(counts > 0).sum()], np.int64).tobytes() for a in asked]
+        answers = [packed(values[np.searchsorted(keys, a)]) if a is not None else np.array([(counts > 0).sum()], np.int64).tobytes() for a in asked]
         m = len(blocks)
         return pa.table({"kind": pa.array([kind] * m, pa.int32()), "bucket": pa.array([bucket] * m, pa.int32()), "block": pa.array(blocks, pa.int32()), "answers": pa.array(answers, pa.binary())})
 
@@ -217,7 +217,7 @@ def _score(order: int, buckets: int, n_train: int, n_train_docs: int, vocabulary
         def filled(keys: np.ndarray, kind: int, dtype) -> np.ndarray:
             values = np.zeros(len(keys), dtype)
             for bucket, at in _split(keys, _BUCKET_OF[kind](keys, buckets)):
-                values[at] = np.frombuffer(got[kind, bucket], dtype)
+                values[at] = unpacked(got[kind, bucket], dtype)
             return values
 
         owner = np.repeat(np.arange(n), block.n_words)
@@ -240,7 +240,7 @@ def _score(order: int, buckets: int, n_train: int, n_train_docs: int, vocabulary
 _SCORED = pa.schema([("doc_id", pa.int64()), ("train", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
-def score_documents(docs: DataFrame, train: Column, order: int = ORDER, text: str = "text", block_bytes: int = 6 << 20) -> DataFrame:
+def score_documents(docs: DataFrame, train: Column, order: int = ORDER, text: str = "text", block_bytes: int = 4 << 20) -> DataFrame:
     """Learn from the rows where ``train`` holds; score all rows.
 
     Texts are lower-cased (A-Z). Tokens are words cut at ASCII white space and
