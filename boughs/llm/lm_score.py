@@ -81,8 +81,10 @@ def _word_bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
 
 def _split(keys: np.ndarray, bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """(bucket, places of its keys), in the order that the answers will have."""
+    if not len(bucket):
+        return
     order = np.argsort(bucket, kind="stable")
-    edges = np.flatnonzero(np.concatenate([[True], np.diff(bucket[order]) != 0])) if len(order) else []
+    edges = np.flatnonzero(np.concatenate([[True], np.diff(bucket[order]) != 0]))
     for a, b in zip(edges, [*edges[1:], len(order)], strict=True):
         yield int(bucket[order[a]]), order[a:b]
 

@@ -142,6 +142,8 @@ def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def _split(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    if not len(bucket):
+        return
     order = np.argsort(bucket, kind="stable")
     edges = _firsts(bucket[order])
     for a, b in zip(edges, [*edges[1:], len(order)], strict=True):
