@@ -97,11 +97,13 @@ def quality_rules(docs: DataFrame, keep: list[str] | None = None, text: str = "t
 
     Returns the columns ``keep`` (by default all but ``text``), the base figures,
     base_failed, and kept: false for a document that fails the base rules, else
-    whether each metric lies within the limits of its group. Null languages and
+    whether each metric lies within the limits of its group. Input columns with
+    the added names are replaced. Null languages and
     sources are groups of their own. Rows repeat as they do in the input; an
     empty table gives an empty one.
     """
     keep = [c for c in docs.columns if c != text] if keep is None else keep
+    keep = [c for c in keep if c != "kept"]
     figures = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed"]
     counted = base_figures(docs.withColumns({"__lang": F.col(lang), "__source": F.col(source)}), text)
     stash = Stash(docs.sparkSession, "quality-rules")
