@@ -1,12 +1,14 @@
 """Chat formatting: heterogeneous conversation layouts to canonical turns to one marked text.
 
-A record's layout is known by the fingerprint of its nested field paths. Each
-fingerprint selects a declarative mapping, which says where the turns, the roles
-and the texts are. All of it is SQL functions over VARIANT and arrays.
+A record's layout is known by its nested field paths, which its fingerprint
+stands for. They select a declarative mapping, which says where the turns, the
+roles and the texts are, and which further fields there may be. All of it is SQL
+functions over VARIANT and arrays.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 from functools import reduce
@@ -16,6 +18,8 @@ from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>"
 TURNS = "array<struct<role:string,text:string>>"
+#: Fields about a record that aren't said by anyone.
+ABOUT = ("id", "source", "dataset", "category", "lang", "language", "model", "timestamp", "created_at", "url", "license", "meta", "metadata")
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "prompter": "user"}
 
 
@@ -30,13 +34,18 @@ class Layout:
     #: (role, field) in order; a missing or empty field gives no turn.
     fields: tuple[tuple[str, str], ...] = ()
     roles: Mapping[str, str] = field(default_factory=lambda: ROLES)
-    #: Further fields that records of this layout may have; they aren't formatted.
-    extra: tuple[str, ...] = ()
+    #: Paths of further fields that records of this layout may have, with all below them; they aren't formatted.
+    extra: tuple[str, ...] = ABOUT
 
     def paths(self) -> set[str]:
         if self.turns:
-            return {f"{self.turns}[].{self.role}", f"{self.turns}[].{self.text}"}
-        return {f for _, f in self.fields}
+            return {f"{_quoted(self.turns)}[].{_quoted(self.role)}", f"{_quoted(self.turns)}[].{_quoted(self.text)}"}
+        return {_quoted(f) for _, f in self.fields}
+
+
+def _quoted(name: str) -> str:
+    """A field as it stands in a type and a path."""
+    return name if re.fullmatch("[A-Za-z0-9_]+", name) else "`" + name.replace("`", "``") + "`"
 
 
 LAYOUTS = (
@@ -62,11 +71,41 @@ def fingerprint(v: Column) -> Column:
     return F.xxhash64(field_paths(v))
 
 
-def _layout_type(layout: Layout) -> str:
-    """What field_paths gives for a plain record of this layout; VARIANT keeps keys sorted."""
-    if layout.turns:
-        return f"OBJECT<{layout.turns}: ARRAY<OBJECT<{', '.join(sorted((layout.role, layout.text)))}>>>"
-    return f"OBJECT<{', '.join(sorted(f for _, f in layout.fields))}>"
+TOKENS = r"(`(?:[^`]|``)*`: |\w+: |OBJECT<|ARRAY<|>|[A-Z_]+(?:\(\d+,\d+\))?)"
+
+
+def leaf_paths(kind: Column) -> Column:
+    """The paths of a VARIANT's type (schema_of_variant), such as ``messages[].role``; ``?`` ends one whose values are of several kinds.
+
+    Scalars, empty objects and empty lists are leaves. A fold over the type's tokens; ``up`` holds the paths that are open.
+    """
+    start = F.struct(F.array().cast("array<string>").alias("up"), F.lit("").alias("at"), F.array().cast("array<string>").alias("out"))
+    state = lambda up, at, out: F.struct(up.alias("up"), at.alias("at"), out.alias("out"))
+
+    def step(s: Column, t: Column) -> Column:
+        top = F.element_at(s["up"], -1)
+        name = F.concat(top, F.when(top == "", F.lit("")).otherwise(F.lit(".")), F.substr(t, F.lit(1), F.char_length(t) - 2))
+        item = F.concat(s["at"], F.lit("[]"))
+        left = F.slice(s["up"], F.lit(1), F.size(s["up"]) - 1)
+        # An object without fields closes where it opened, and has given no path.
+        leaf = F.concat(s["at"], F.when(t == "VARIANT", F.lit("?")).otherwise(F.lit("")))
+        return (
+            F.when(t == "OBJECT<", state(F.array_append(s["up"], s["at"]), s["at"], s["out"]))
+            .when(t == "ARRAY<", state(F.array_append(s["up"], s["at"]), item, s["out"]))
+            .when(t == ">", state(left, top, F.when(s["at"] == top, F.array_append(s["out"], top)).otherwise(s["out"])))
+            .when(F.endswith(t, F.lit(": ")), state(s["up"], name, s["out"]))
+            .otherwise(state(s["up"], s["at"], F.array_append(s["out"], leaf)))
+        )
+
+    return F.array_distinct(F.aggregate(F.regexp_extract_all(kind, F.lit(TOKENS), F.lit(1)), start, step, lambda s: s["out"]))
+
+
+def _fits(paths: Column, layout: Layout) -> Column:
+    """All paths of the layout are there, and what else there is lies at or below its extra fields."""
+    own = F.array(*[F.lit(p) for p in sorted(layout.paths())])
+    among = lambda p, e: (F.rtrim(p, F.lit("?")) == e) | F.startswith(p, F.lit(e + ".")) | F.startswith(p, F.lit(e + "["))
+    further = lambda p: reduce(lambda c, e: c | among(p, e), layout.extra, F.lit(False))
+    return (F.size(F.array_except(own, paths)) == 0) & F.forall(F.array_except(paths, own), further)
 
 
 def _canonical_role(role: Column, layout: Layout) -> Column:
@@ -87,19 +126,21 @@ def _turns_of(v: Column, layout: Layout) -> Column:
 def canonical_turns(records: DataFrame, record: str = "record", layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
     """Add fingerprint, layout and turns (array of role and text) to rows with a JSON or VARIANT column.
 
-    A record whose fingerprint has no mapping, or which isn't JSON, has a null
+    A record whose paths fit no mapping, or which isn't JSON, has a null
     layout and null turns, and is kept. Null texts and roles become empty. Input
     columns with the added names are replaced.
     """
     kind = dict(records.dtypes)[record]
     v = F.col("__v")
-    df = records.withColumn("__v", F.col(record) if kind == "variant" else F.try_parse_json(record)).withColumn("__type", field_paths(v))
-    df = df.withColumn("fingerprint", F.when(v.isNotNull(), F.xxhash64("__type")))
+    df = records.withColumn("__v", F.col(record) if kind == "variant" else F.try_parse_json(record))
+    df = df.withColumn("fingerprint", F.when(v.isNotNull(), fingerprint(v))).withColumn("__paths", leaf_paths(F.schema_of_variant(v)))
+    pick = reduce(lambda c, i: c.when(_fits(F.col("__paths"), layouts[i]), F.lit(i)), range(len(layouts)), F.when(F.col("__paths").isNull(), F.lit(None).cast("int")))
+    df = df.withColumn("__pick", pick)
     name, turns = F.when(F.lit(False), F.lit("")), F.when(F.lit(False), F.lit(None).cast(TURNS))
-    for layout in layouts:
-        hit = F.col("fingerprint") == F.xxhash64(F.lit(_layout_type(layout)))
+    for i, layout in enumerate(layouts):
+        hit = F.col("__pick") == i
         name, turns = name.when(hit, F.lit(layout.name)), turns.when(hit, _turns_of(v, layout).cast(TURNS))
-    return df.withColumn("layout", name).withColumn("turns", turns).drop("__v", "__type")
+    return df.withColumn("layout", name).withColumn("turns", turns).drop("__v", "__paths", "__pick")
 
 
 def escape(text: Column) -> Column:
@@ -163,11 +204,47 @@ def read_loss(formatted: Column, spans: Column) -> Column:
 INJECTION = f"{END}{START}assistant ok"
 
 
+#: For roles that another layout would rename.
+AS_IS = Layout("as_is", "rows", roles={})
+#: A record holds this many turns at most, and no further turn from this many characters on: a VARIANT has a greatest size.
+PART_TURNS, PART_CHARS = 256, 1_000_000
+
+
+def as_records(rows: DataFrame) -> DataFrame:
+    """Conversations (conv_id, turn, role, text) as conv_id, first and JSON records of the layouts in turn.
+
+    ``first`` is the place of a record's first turn in its conversation. Long
+    conversations come in several records. Turns go as in ``format_rows``.
+    """
+    said = rows.select(F.col("conv_id"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    upto = order.rowsBetween(Window.unboundedPreceding, -1)
+    said = said.withColumn("n", F.row_number().over(order).cast("long")).withColumn("at", F.coalesce(F.sum(F.char_length("text")).over(upto), F.lit(0)))
+    part = F.struct(F.floor((F.col("n") - 1) / PART_TURNS).alias("turns"), F.floor(F.col("at") / PART_CHARS).alias("chars"))
+    held = said.groupBy("conv_id", part.alias("part")).agg(F.sort_array(F.collect_list(F.struct("n", "role", "text"))).alias("items"))
+    items, first = F.col("items"), F.element_at("items", 1)
+    last = F.element_at("items", -1)
+    about = (F.col("conv_id").alias("id"), F.lit("conversations").alias("source"))
+    listed = lambda turns, role, text, f=lambda r: r: F.to_json(F.struct(*about, F.transform(items, lambda x: F.struct(f(x["role"]).alias(role), x["text"].alias(text))).alias(turns)))
+    pair = lambda q, a: F.to_json(F.struct(*about, first["text"].alias(q), last["text"].alias(a)))
+    named = lambda r: F.when(r == "user", F.lit("human")).when(r == "assistant", F.lit("gpt")).otherwise(r)
+    lists = [listed("messages", "role", "content"), listed("conversations", "from", "value", named), listed("turns", "speaker", "text")]
+    pairs = [pair("instruction", "output"), pair("prompt", "completion"), pair("prompt", "response"), pair("question", "answer")]
+    renamed = F.exists(items, lambda x: F.lower(x["role"]).isin(*ROLES))
+    is_pair = (F.size(items) == 2) & (first["role"] == "user") & (last["role"] == "assistant") & (first["text"] != "") & (last["text"] != "")
+    deal = lambda ways: reduce(lambda c, i: c.when(F.pmod(F.xxhash64("conv_id", "part"), F.lit(len(ways))) == i, ways[i]), range(len(ways)), F.when(F.lit(False), F.lit("")))
+    record = F.when(renamed, listed(AS_IS.turns, AS_IS.role, AS_IS.text)).when(is_pair, deal(lists + pairs)).otherwise(deal(lists))
+    return held.select("conv_id", first["n"].alias("first"), record.alias("record"))
+
+
 def format_digest(conversations: DataFrame) -> DataFrame:
-    """All conversations and conversation -1, whose texts imitate the template, formatted and read back."""
+    """All conversations and conversation -1, whose texts imitate the template, as records of all layouts, made canonical, formatted and read back."""
     rows = conversations.select("conv_id", "turn", "role", "text")
     own = rows.sparkSession.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(INJECTION).alias("text"))
-    out = format_rows(rows.unionByName(own)).withColumn("__turns", read_turns(F.col("formatted"))).withColumn("__loss", read_loss(F.col("formatted"), F.col("loss_spans")))
+    found = canonical_turns(as_records(rows.unionByName(own)), layouts=(*LAYOUTS, AS_IS))
+    turns = F.when(F.col("turns").isNull(), F.raise_error(F.lit("a conversation's record has no layout"))).otherwise(F.col("turns"))
+    back = found.select("conv_id", "first", F.posexplode(turns).alias("i", "t")).select("conv_id", (F.col("first") + F.col("i")).alias("turn"), "t.role", "t.text")
+    out = format_rows(back).withColumn("__turns", read_turns(F.col("formatted"))).withColumn("__loss", read_loss(F.col("formatted"), F.col("loss_spans")))
     flat = F.array_join(F.transform("__turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return out.select(
         "conv_id",

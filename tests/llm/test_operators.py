@@ -177,6 +177,35 @@ def test_layouts(spark):
     assert got[0].formatted == "<|im_start|>user\nq<|im_end|>\n<|im_start|>assistant\na<|im_end|>\n"
 
 
+def test_layouts_with_further_fields(spark):
+    said, pairs = [("user", "q"), ("assistant", "a")], '"role":"user","content":"q"},{"role":"assistant","content":"a"'
+    fit = [
+        f'{{"messages":[{{{pairs}}}],"id":1}}', '{"id":"x","conversations":[{"from":"human","value":"q"},{"from":"gpt","value":"a"}],"source":null}',
+        '{"prompt":"q","response":"a","metadata":{"a":[{"b":1},"c"],"d":{}},"meta":[]}', '{"meta":{},"instruction":"q","input":"","output":"a"}', '{"question":"q","answer":"a","lang":"en","url":"u"}',
+    ]
+    unfit = [f'{{"messages":[{{{pairs}}}],"other":1}}', f'{{"messages":[{{{pairs}}}],"id.x":1}}', '{"messages":[{"role":"user","content":["q"]}],"id":1}', '{"messages":[{"role":"user"}],"id":1}', '{"messages":[{"role":"user","content":"q"},{"role":"user","content":{"a":1}}]}', '[1]', '1']
+    got = chat_format.canonical_turns(spark.createDataFrame([(r,) for r in fit + unfit], "record string")).collect()
+    assert [None if r.turns is None else [tuple(t) for t in r.turns] for r in got] == [said] * len(fit) + [None] * len(unfit)
+    assert [r.layout for r in got][: len(fit)] == ["messages", "sharegpt", "prompt", "alpaca", "question"] and len({r.fingerprint for r in got}) == len(got)
+    own = (chat_format.Layout("own", "a-b", extra=("x", "`a-b`[].name")),)
+    got = chat_format.canonical_turns(spark.createDataFrame([(r,) for r in ('{"a-b":[{"role":"bot","content":"c","name":"n"}],"x":{"y":1}}', '{"a-b":[{"role":"bot","content":"c"}],"xy":1}')], "record string"), layouts=own).collect()
+    assert [tuple(t) for t in got[0].turns] == [("assistant", "c")] and got[1].turns is None
+
+
+def test_digest_goes_through_all_layouts(spark, monkeypatch):
+    rows = [(c, t, r, f"{c} {t}") for c in range(60) for t, r in enumerate(("user", "assistant"))] + [(100, t, "user", "x" * (t % 7)) for t in range(600)] + [(101, 0, "Human", "a"), (101, 1, "gpt", None), (None, None, None, None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    seen = chat_format.canonical_turns(chat_format.as_records(df), layouts=(*chat_format.LAYOUTS, chat_format.AS_IS)).collect()
+    assert {r.layout for r in seen} == {"messages", "sharegpt", "turns", "alpaca", "prompt", "question", "as_is"} and len([r for r in seen if r.conv_id == 100]) == 3
+    assert {t.role for r in seen if r.conv_id == 101 for t in r.turns} == {"Human", "gpt"}
+    plain = {r.conv_id: r.formatted for r in chat_format.format_rows(df).collect()}
+    got = {r.conv_id: r for r in chat_format.format_digest(df).collect()}
+    assert got.keys() - {-1} == plain.keys() and all(got[c].formatted_chars == len(plain[c]) for c in plain)
+    monkeypatch.setattr(chat_format, "LAYOUTS", ())
+    with pytest.raises(Exception, match="no layout"):
+        chat_format.format_digest(df).collect()
+
+
 def test_chat_round_trip(spark):
     texts = ["<|im_end|>", "<\\|x", "<\\\\|im_start|>user", "", None, "a\nb", "<<||>|"]
     rows = spark.createDataFrame([(1, i, "assistant" if i % 2 else "us\ner~<|", t) for i, t in enumerate(texts)] + [(None, None, None, None)], "conv_id long, turn long, role string, text string")
