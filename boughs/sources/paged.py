@@ -2,7 +2,7 @@
 
 ``fetch(cursor, limit)`` gives ``{"items": [...], "cursor": next or None}``.
 Without a network, ``folder`` is such an interface: its files, in order of name,
-are the pages.
+hold the items, and a file of more than ``limit`` is several pages.
 """
 
 from __future__ import annotations
@@ -47,15 +47,21 @@ def pages(fetch: Callable[[str | None, int], Page], limit: int = 100, max_pages:
 
 
 def folder(path: str) -> Callable[[str | None, int], Page]:
+    """The cursor is the number of a file and, within a file, ``:`` and the number of items before."""
     names = sorted(os.listdir(path))
 
     def fetch(cursor: str | None, limit: int) -> Page:
-        i = int(cursor or 0)
+        if limit < 1:
+            raise ValueError(f"limit {limit} gives no items")
+        i, _, skip = (cursor or "0").partition(":")
+        i, skip = int(i), int(skip or 0)
         if i >= len(names):
             return {"items": [], "cursor": None}
         with open(os.path.join(path, names[i])) as f:
             items = json.load(f)
-        return {"items": items[:limit], "cursor": str(i + 1) if i + 1 < len(names) else None}
+        upto = skip + limit
+        after = f"{i}:{upto}" if upto < len(items) else str(i + 1) if i + 1 < len(names) else None
+        return {"items": items[skip:upto], "cursor": after}
 
     return fetch
 
