@@ -37,7 +37,7 @@ def normalised(text: str | None) -> list[bytes]:
 class Automaton:
     """Suffix automaton over word numbers; unknown words are 0 and lead to the root."""
 
-    def __init__(self, items: Iterable[tuple[str, list[bytes]]], window: int = WINDOW):
+    def __init__(self, items: Iterable[tuple[str | None, list[bytes]]], window: int = WINDOW):
         self.window = window
         self.vocab: dict[bytes, int] = {}
         self.next: list[dict[int, int]] = [{}]
@@ -52,7 +52,7 @@ class Automaton:
             for c in ids:
                 last = self._extend(last, c)
         #: Items that have a window, or end as a short item, at a state; and the items' lengths there.
-        self.items: list[dict[str, int]] = [{} for _ in self.length]
+        self.items: list[dict[str | None, int]] = [{} for _ in self.length]
         for name, ids in held:
             state = 0
             for i, c in enumerate(ids):
@@ -121,7 +121,7 @@ class Automaton:
         long = stops - starts >= least
         return list(zip(starts[long].tolist(), (stops[long] + extra).tolist(), strict=True))
 
-    def walk(self, ids: list[int], base: int) -> Iterator[tuple[int, int, dict[str, int]]]:
+    def walk(self, ids: list[int], base: int) -> Iterator[tuple[int, int, dict[str | None, int]]]:
         """(first, last + 1, items) of the words of each match, from word ``base`` on."""
         nxt, link, length, items, window = self.next, self.link, self.length, self.items, self.window
         state = n = 0
@@ -148,7 +148,7 @@ class Automaton:
 def automata(benchmark: DataFrame, window: int = WINDOW, most_words: int = MOST_WORDS) -> list[Automaton]:
     """Automata over all items, each over at most ``most_words`` words. Items stream to the driver, a part at a time."""
     made, part, n = [], [], 0
-    for r in benchmark.select(F.col("item_id").cast("string").alias("k"), F.col("text").alias("t")).where("k is not null").toLocalIterator():
+    for r in benchmark.select(F.col("item_id").cast("string").alias("k"), F.col("text").alias("t")).toLocalIterator():
         words = normalised(r["t"])
         if part and n + len(words) > most_words:
             made.append(Automaton(part, window))
@@ -170,7 +170,7 @@ def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def find(automaton: Automaton, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str], int]:
+def find(automaton: Automaton, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str | None], int]:
     """Hit word ranges of a text, the items with occurring windows, and the longest match's words."""
     ids = np.fromiter(map(automaton.vocab.get, words, repeat(0)), np.int32, len(words))
     spans, items, longest = [], set(), 0
@@ -193,7 +193,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None
 
     Every item counts, whatever their number: what one automaton can't hold goes
     to a further pass. Null texts and items have no words and match nothing;
-    items without id are left out. Input columns with the added names are
+    items without id count as one, which is a null at the end of hit_items. Input columns with the added names are
     replaced.
     """
     spark = docs.sparkSession
@@ -216,7 +216,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None
                     items = [x.union(y) for x, y in zip(items, batch.column("hit_items").to_pylist(), strict=True)]
                     longest = list(map(max, longest, batch.column("longest_match").to_pylist()))
                 old = [n for n in batch.schema.names if n not in added]
-                new = [pa.array([r[0] for r in rows], pa.int64()), pa.array([[list(s) for s in x] for x in spans], pa.list_(pa.list_(pa.int64()))), pa.array([sorted(x) for x in items], pa.list_(pa.string())), pa.array(longest, pa.int64())]
+                new = [pa.array([r[0] for r in rows], pa.int64()), pa.array([[list(s) for s in x] for x in spans], pa.list_(pa.list_(pa.int64()))), pa.array([sorted(x, key=lambda k: (k is None, k or "")) for x in items], pa.list_(pa.string())), pa.array(longest, pa.int64())]
                 yield pa.RecordBatch.from_arrays([batch.column(n) for n in old] + new, names=old + added)
 
         df = df.mapInArrow(run, base + ", n_words long, hit_spans array<array<long>>, hit_items array<string>, longest_match long")

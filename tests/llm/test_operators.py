@@ -226,6 +226,19 @@ def test_automaton_parts_give_the_same(spark, sf_dir):
     assert one == many
 
 
+def test_items_without_id_are_hit(spark, tmp_path):
+    clean, leak = "one two three four five six seven eight nine ten eleven twelve", "p1 p2 p3 p4 p5 p6 p7 p8 p9"
+    docs = spark.createDataFrame([(1, f"{clean} {leak}"), (2, clean), (3, f"{clean} q1 q2 q3, s1 s2 {clean}"), (4, f"i1 i2 i3 {leak} {clean} {clean}"), (5, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, leak), ("i", "i1 i2 i3"), (None, "q1 q2 q3"), (None, None), (None, "s1 s2"), ("", "unseen")], "item_id string, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    bench.write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert difference(queries.op6_decontamination(spark, str(tmp_path)), str(tmp_path), queries.oracle_sql()["op6_decontamination"]) == ""
+    for most in (10**6, 3):
+        assert {r.doc_id: r.hit_items for r in decontam.matches(docs, bench, ["doc_id"], most_words=most).collect()} == {1: [None], 2: [], 3: [None], 4: ["i", None], 5: []}
+    texts = {r.doc_id: (r.text or "").split() for r in decontam.decontaminate(docs, bench).collect()}
+    assert texts.keys() == {1, 2, 3, 4, 5} and not any(w[0] in "pq" or w in ("i1", "s1") for t in texts.values() for w in t)
+
+
 def test_sketch_fills_and_agrees():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 2**63, 1000).astype(np.uint64)
