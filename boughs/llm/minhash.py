@@ -211,9 +211,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: int = 80, tex
     labels = ids.withColumn("label", F.col("node"))
     twice = placed.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").limit(1)
     if twice.count():
-        # A repeated id ties the nodes of its rows together.
+        # A repeated id ties the nodes of its rows together, those that share no bucket too.
         merged = components(placed.select(F.col("doc_id").alias("a"), F.col("node").alias("b")), stash, "repeated")
-        labels = _relabelled(ids.withColumn("label", F.col("node")), merged)
+        labels = _relabelled(placed.select("node").distinct().withColumn("label", F.col("node")), merged)
         labels = stash.keep(labels, "labels-repeated")
 
     for turn in range(3):
@@ -243,6 +243,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: int = 80, tex
 
     final = placed.select("doc_id", "n", "node").join(labels, "node", "left").select("doc_id", "n", F.coalesce("label", "node").alias("component_id"))
     alone = all_.where("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    empty = all_.where("n = 0 and doc_id is not null").select("doc_id")
+    if placed.join(empty, "doc_id", "left_semi").limit(1).count():
+        # A row without words has the links of the other rows of its id.
+        linked_to = final.groupBy("doc_id").agg(F.min("component_id").alias("to"))
+        alone = alone.join(linked_to, "doc_id", "left").select("doc_id", "n", F.coalesce("to", "component_id").alias("component_id"))
     out = final.unionByName(alone)
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 

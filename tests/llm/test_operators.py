@@ -239,6 +239,16 @@ def test_items_without_id_are_hit(spark, tmp_path):
     assert texts.keys() == {1, 2, 3, 4, 5} and not any(w[0] in "pq" or w in ("i1", "s1") for t in texts.values() for w in t)
 
 
+def test_repeated_ids_have_the_links_of_all_rows(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    docs = spark.createDataFrame([(3, a), (8, a), (8, b), (10, c), (11, c), (11, ""), (12, ""), (None, a)], "doc_id long, text string")
+    got = {}
+    for r in minhash.near_duplicates(docs).collect():
+        got.setdefault(r.doc_id, set()).add(r.component_id)
+    assert got == {3: {3}, 8: {3}, 10: {10}, 11: {10}, 12: {12}, None: {None}}
+    assert sorted(r.doc_id or 0 for r in minhash.deduplicate(docs).collect()) == [0, 3, 10, 12]
+
+
 def test_sketch_fills_and_agrees():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 2**63, 1000).astype(np.uint64)
