@@ -147,6 +147,28 @@ def test_bit_packing(bits):
         assert (token_files.unpack(raw, bits, a, b) == ids[a:b]).all()
 
 
+def test_token_files_of_odd_input(spark, tmp_path):
+    """Each row comes back with the ids of the plain tokenizer: nulls, repeated and missing ids, control strings, no rows at all."""
+    from tokenizers import Tokenizer
+
+    path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
+    plain = Tokenizer.from_file(path)
+    special = next(iter(plain.get_added_tokens_decoder().values())).content
+    texts = [(r.doc_id, r.text) for r in odd(spark).collect()] + [(20, f"before {special} after"), (20, "other text of the same id"), (21, "tab\t two  blanks \u00a0 x\u3000y's l'été,ok\n\n  end  "), (22, "A" * 5000 + " 1.5e10")]
+    token_files.write_tokens(spark.createDataFrame(texts, "doc_id long, text string").repartition(5), str(tmp_path / "odd"), path)
+    want = sorted((-1 if d is None else d, [*plain.encode(t or "", add_special_tokens=False).ids, 2]) for d, t in texts)
+    rows = token_files.read_tokens(spark, str(tmp_path / "odd")).orderBy("start").collect()
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.ids) for r in rows) == want
+    assert [r.start for r in rows] == np.cumsum([0, *[r.n_tokens for r in rows]])[:-1].tolist() and [r.doc_id or -1 for r in rows] == [d for d, _ in want]
+    every = [i for r in rows for i in r.ids]
+    for a, b in ((0, 5), (3, 3), (17, 40_000), (len(every) - 9, len(every) + 9), (0, len(every))):
+        assert token_files.read_range(spark, str(tmp_path / "odd"), a, b).tolist() == every[a:b]
+    assert sorted(x.tolist() for x in token_files.read_document(spark, str(tmp_path / "odd"), 20)) == [ids for d, ids in want if d == 20]
+    assert token_files.read_document(spark, str(tmp_path / "odd"), 99) == []
+    token_files.write_tokens(odd(spark, empty=True), str(tmp_path / "empty"), path)
+    assert token_files.read_tokens(spark, str(tmp_path / "empty")).count() == 0 and not len(token_files.read_range(spark, str(tmp_path / "empty"), 0, 9))
+
+
 def test_token_files_round_trip(spark, sf_dir):
     from tokenizers import Tokenizer
 
