@@ -23,7 +23,6 @@ names as arrays; each block sends a name once, whoever has it (see exchange.py).
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +37,7 @@ from .hashing import U, mix
 LENGTH, ANCHOR = 50, 24
 SPAN = LENGTH - ANCHOR + 1
 #: String starts that are named at once.
-SLICE = 1 << 19
+SLICE = 1 << 17
 BUCKETS = 64
 #: Orders rows without doc_id after all others.
 LAST = np.iinfo(np.int64).max
@@ -173,8 +172,8 @@ def _doc_ids(base: int, width: int, raw: bytes) -> np.ndarray:
     return (_long(raw, width) + U(base & (2**64 - 1))).view(np.int64)
 
 
-#: Bytes of an anchor's and a run's name that are sent. A bucket adds 6 bits or more, and runs are compared under one anchor only.
-ANCHOR_BYTES, RUN_BYTES = 5, 6
+#: Bytes of an anchor's name that are sent; its bucket adds 6 bits or more. Runs are compared under one anchor, by all 8 bytes of their names.
+ANCHOR_BYTES, RUN_BYTES = 5, 8
 ASKED = "bucket int, block int, anchors binary, names binary, base long, width int, docs binary"
 _ASKED = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("anchors", pa.binary()), ("names", pa.binary()), ("base", pa.int64()), ("width", pa.int32()), ("docs", pa.binary())])
 ANSWERED = "block int, bucket int, codes binary"
@@ -236,9 +235,9 @@ def _rank_runs(table: pa.Table) -> pa.Table:
     return _codes_back(table, codes, ANCHOR_BYTES, "anchors")
 
 
-#: What the second round gives: finished documents, documents that wait for their strings, and the strings.
-SECOND = "kind int, block int, bucket int, doc_id long, data binary, spans array<long>, strings array<long>, names binary, base long, width int, docs binary"
-_SECOND = pa.schema([("kind", pa.int32()), ("block", pa.int32()), ("bucket", pa.int32()), ("doc_id", pa.int64()), ("data", pa.binary()), ("spans", pa.list_(pa.int64())), ("strings", pa.list_(pa.int64())), ("names", pa.binary()), ("base", pa.int64()), ("width", pa.int32()), ("docs", pa.binary())])
+#: What the second round gives: finished documents, with what they keep, whole documents that wait for their strings, and the strings.
+SECOND = "kind int, block int, bucket int, doc_id long, n_bytes long, data binary, spans array<long>, strings array<long>, names binary, base long, width int, docs binary"
+_SECOND = pa.schema([("kind", pa.int32()), ("block", pa.int32()), ("bucket", pa.int32()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("data", pa.binary()), ("spans", pa.list_(pa.int64())), ("strings", pa.list_(pa.int64())), ("names", pa.binary()), ("base", pa.int64()), ("width", pa.int32()), ("docs", pa.binary())])
 DONE, OPEN, STRINGS = 0, 1, 2
 
 
@@ -268,6 +267,11 @@ def _by_doc(texts: Texts, first: np.ndarray, last: np.ndarray) -> list[list[int]
     return out
 
 
+def _kept(text: bytes, spans: list[int]) -> bytes:
+    edges = [0, *spans, len(text)]
+    return b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)) if spans else text
+
+
 def _settle_runs(buckets: int):
     def run(table: pa.Table, answered: pa.Table) -> pa.Table:
         if not table.num_rows:
@@ -291,7 +295,7 @@ def _settle_runs(buckets: int):
             strings[d] += (s, c)
         out = []
         for i, t in enumerate(texts.texts):
-            out.append({"kind": OPEN if open_[i] else DONE, "block": number, "doc_id": texts.doc_ids[i], "data": t, "spans": spans[i], "strings": strings[i]})
+            out.append({"kind": OPEN if open_[i] else DONE, "block": number, "doc_id": texts.doc_ids[i], "n_bytes": len(t), "data": t if open_[i] else _kept(t, spans[i]), "spans": spans[i], "strings": strings[i]})
         out += _asked_strings(texts, runs["start"][on], runs["count"][on], number, buckets)
         return pa.Table.from_pylist(out, schema=_SECOND)
 
@@ -324,8 +328,8 @@ def _rank_strings(table: pa.Table) -> pa.Table:
     return _codes_back(table, codes, 8, "names")
 
 
-FOUND = "doc_id long, data binary, spans array<long>"
-_FOUND = pa.schema([("doc_id", pa.int64()), ("data", pa.binary()), ("spans", pa.list_(pa.int64()))])
+FOUND = "doc_id long, n_bytes long, data binary, spans array<long>"
+_FOUND = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("data", pa.binary()), ("spans", pa.list_(pa.int64()))])
 
 
 def _settle_strings(buckets: int):
@@ -354,19 +358,19 @@ def _settle_strings(buckets: int):
         hit = (code[place] == REMOVED) | (own > doc[place])
         more = pos[hit]
         first, last = _covered(np.concatenate([*gone_s, more]), np.concatenate([*gone_c, np.ones(len(more), np.int64)]), len(texts.data))
-        return pa.Table.from_pylist([{"doc_id": d, "data": t, "spans": s} for d, t, s in zip(texts.doc_ids, texts.texts, _by_doc(texts, first, last), strict=True)], schema=_FOUND)
+        return pa.Table.from_pylist([{"doc_id": d, "n_bytes": len(t), "data": _kept(t, s), "spans": s} for d, t, s in zip(texts.doc_ids, texts.texts, _by_doc(texts, first, last), strict=True)], schema=_FOUND)
 
     return run
 
 
-def repeated_spans(docs: DataFrame, text: str = "text", block_bytes: int = 8 << 20) -> DataFrame:
-    """Per document doc_id, data (its UTF-8 bytes) and spans: [first, last + 1, ...] of its maximal removed stretches.
+def remove_repeats(docs: DataFrame, text: str = "text", block_bytes: int = 4 << 20) -> DataFrame:
+    """Per document doc_id, n_bytes, n_removed, n_spans, spans ([first, last + 1, ...] of its maximal removed stretches), kept (the remaining bytes) and kept_sha256.
 
     A byte is removed if a string of 50 bytes covers it that also starts in a
     document with a smaller doc_id; what is removed there doesn't matter. Null
     and empty texts, and texts under 50 bytes, keep all. Rows with one doc_id
     don't remove each other's bytes. Rows without doc_id come after all others.
-    Strings are compared by 64-bit names.
+    An empty table gives an empty one; further columns are left out.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -383,27 +387,10 @@ def repeated_spans(docs: DataFrame, text: str = "text", block_bytes: int = 8 <<
     ranked = stash.keep(strings.groupBy("bucket").applyInArrow(_rank_strings, ANSWERED), "strings")
     waiting = second.where(F.col("kind") == OPEN).select("block", "doc_id", "data", "spans", "strings")
     last = waiting.groupBy("block").cogroup(ranked.groupBy("block")).applyInArrow(_settle_strings(buckets), FOUND)
-    return second.where(F.col("kind") == DONE).select("doc_id", "data", "spans").unionByName(last)
-
-
-def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Per document doc_id, n_bytes, n_removed, n_spans, spans, kept (the remaining bytes) and kept_sha256."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, spans = batch.column("data").to_pylist(), batch.column("spans").to_pylist()
-            kept, removed = [], []
-            for t, s in zip(data, spans, strict=True):
-                edges = [0, *s, len(t)]
-                kept.append(b"".join(t[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
-                removed.append(len(t) - len(kept[-1]))
-            yield pa.record_batch({
-                "doc_id": batch.column("doc_id"), "n_bytes": pa.array([len(t) for t in data], pa.int64()), "n_removed": pa.array(removed, pa.int64()),
-                "n_spans": pa.array([len(s) // 2 for s in spans], pa.int64()), "spans": batch.column("spans"), "kept": pa.array(kept, pa.binary()),
-                "kept_sha256": pa.array([hashlib.sha256(k).hexdigest() for k in kept]),
-            })
-
-    return repeated_spans(docs, text).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<long>, kept binary, kept_sha256 string")
+    found = second.where(F.col("kind") == DONE).select("doc_id", "n_bytes", "data", "spans").unionByName(last)
+    # In the JVM: a second Python worker for each task would take its memory besides the first one's.
+    removed = F.col("n_bytes") - F.octet_length("data")
+    return found.select("doc_id", "n_bytes", removed.cast("long").alias("n_removed"), (F.size("spans") / 2).cast("long").alias("n_spans"), "spans", F.col("data").alias("kept"), F.sha2("data", 256).alias("kept_sha256"))
 
 
 def op4_sql() -> str:
