@@ -11,13 +11,16 @@ from __future__ import annotations
 import html
 import inspect
 import json
+import re
 import warnings
 from collections.abc import Callable, Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from boughs.functions import Native, isna
 from boughs.operators import order, records, typed
@@ -26,6 +29,7 @@ from boughs.operators.records import DOC
 from boughs.plans import variants
 from boughs.plans.paths import Depth, Path, compile_path, parse_cursor, quoted
 from boughs.plans.schema import Schema, from_spark, to_spark
+from boughs.plans.types import FunctionType, ThunkFunctionType
 from boughs.session import ship_code
 from boughs.sources import memory
 
@@ -114,7 +118,14 @@ class _Base:
         return self._next(self.df.join(ids.where(F.col("schema_id") == schema_id).select("__p"), F.col(POS) == F.col("__p"), "left_semi"))
 
     def matching(self, shape: dict) -> DataBranch:
-        """The records that have the fields of ``shape``, of its types where a field's value is a class."""
+        """The records that have the fields of ``shape``: of a class, where that is the field's value, or members of a predicate type."""
+
+        def predicates(want: dict) -> bool:
+            return any(predicates(w) if isinstance(w, dict) else isinstance(w, FunctionType | ThunkFunctionType) for w in want.values())
+
+        if self.typed and predicates(shape):
+            kept = records.run(self.as_records().df, lambda r: (r,) if variants.fits(r, shape) else ())
+            return self._next(self.df.join(kept.select(F.col(POS).alias("__p")), F.col(POS).eqNullSafe(F.col("__p")), "left_semi"))
         if not self.typed:
             return self._next(records.run(self.df, lambda r: (r,) if variants.fits(r, shape) else ()))
 
@@ -320,8 +331,44 @@ class _Base:
             both = self.as_records().df.withColumn("__side", F.lit(0)).unionByName(other.as_records().df.withColumn("__side", F.lit(1)))
         return self._next(both.withColumn(POS, F.struct("__side", POS)).drop("__side"), None, True)
 
+    def intersect(self, other: _Base) -> DataBranch:
+        """The distinct records that both have, each at the place of its first; field order and types as here."""
+        return self._among(other, "left_semi")
+
+    def subtract(self, other: _Base) -> DataBranch:
+        """The distinct records that ``other`` doesn't have, each at the place of its first."""
+        return self._among(other, "left_anti")
+
+    def _among(self, other: _Base, how: str) -> DataBranch:
+        """Records are compared as JSON with sorted names, so any two kinds of trees can be."""
+        mine, theirs = self.as_records().df, other.as_records().df
+        code = F.to_json(F.parse_json(DOC))
+        first = mine.groupBy(code.alias("__code")).agg(F.min(POS).alias(POS))
+        found = first.join(theirs.select(code.alias("__code")), "__code", how).select(F.col(POS).alias("__p"), "__code")
+        if self.typed:
+            keyed = self.df.withColumn("__code", F.to_json(F.parse_json(F.to_json(typed.record(self.df), {"ignoreNullFields": "false"}))))
+        else:
+            keyed = self.df.withColumn("__code", code)
+        # A place may be shared, and only one of equal records stays.
+        hit = keyed.join(found, (keyed["__code"] == found["__code"]) & (keyed[POS] == F.col("__p"))).drop("__p").drop("__code")
+        return self._next(hit, None, True)
+
+    def sort(self, descending: bool | list[bool] = False) -> DataBranch:
+        """The records in the order of the projected values, nulls first (last if descending), ties in the order they had."""
+        if not self.typed or self.cursor is None:
+            raise TypeError("sort needs typed columns and a projection")
+        many = self.cursor if isinstance(self.cursor, list) else [self.cursor]
+        down = descending if isinstance(descending, list) else [descending] * len(many)
+        found = [compile_path(typed.record_type(self.df), p, False) for p in many]
+        keys = [order.descending(f.col, f.kind) if d else f.col for f, d in zip(found, down, strict=True)]
+        return self._next(self.df.withColumn(POS, F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)], F.col(POS).alias("pos"))))
+
     # Actions
 
+    def sql(self, query: str, **trees: _Base) -> DataFrame:
+        """A SQL query over this tree, as ``{tree}``, and others by their names; a path is a struct field."""
+        return self.spark.sql(query, tree=self.unproject().to_df(), **{k: v.unproject().to_df() for k, v in trees.items()})
+
     def to_df(self) -> DataFrame:
         """A DataFrame without positions: the projected columns, or all fields (records: one JSON column, ``record``)."""
         if self.cursor is None:
@@ -336,6 +383,12 @@ class _Base:
         return order.dense(self.df, out).drop(POS)
 
     def __iter__(self) -> Iterator:
+        try:
+            yield from self._values()
+        except PySparkException as e:
+            raise _index_error(e) or e from None
+
+    def _values(self) -> Iterator:
         ordered = self.df.orderBy(POS)
         if not self.typed:
             for row in ordered.select(DOC).toLocalIterator():
@@ -356,7 +409,10 @@ class _Base:
         return True
 
     def __len__(self) -> int:
-        return self.df.count()
+        try:
+            return self.df.count()
+        except PySparkException as e:
+            raise _index_error(e) or e from None
 
     def length(self) -> int:
         return len(self)
@@ -377,8 +433,13 @@ class _Base:
         return variants.build(self.df, exact).ids(self.df)
 
     def materialize(self) -> DataTree:
-        """A tree with the state of this branch, computed once, in storage that survives lost executors if there is any."""
-        return DataTree._of(self.df.persist())
+        """A tree with the state of this branch, computed once.
+
+        With ``spark.checkpoint.dir``, the folder that all executors share, it is
+        written there and survives their loss; else it is cached, and what is lost
+        is computed again.
+        """
+        return DataTree._of(_kept(self.df))
 
     def write_parquet(self, path: str, mode: str = "error") -> None:
         self.to_df().write.mode(mode).parquet(path)
@@ -466,9 +527,9 @@ class DataTree(_Base):
 
     @property
     def mat(self) -> DataTree:
-        """This tree with its rows kept and its schemas built."""
+        """This tree with its rows kept, as by ``DataBranch.materialize``, and its schemas built."""
         if not self._catalog:
-            self.df = self.df.persist()
+            self.df = _kept(self.df)
             self.build_schemas()
         return self
 
@@ -503,6 +564,15 @@ class DataTree(_Base):
         return "".join(f"<div><b>Schema {i}</b>{s._repr_html_(collapsed)}</div>" for i, s in self.schemas().items())
 
 
+def _index_error(e: PySparkException) -> IndexError | None:
+    found = re.search(rf"{order.NO_PLACE}-?\d+", str(e))
+    return IndexError(found[0]) if found else None
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.persist()
+
+
 def _plain(value: object) -> object:
     if isinstance(value, T.Row):
         return {k: _plain(v) for k, v in value.asDict().items()}
@@ -514,43 +584,70 @@ def _plain(value: object) -> object:
 
 
 def _doc_value(cursor: Cursor) -> Column:
-    """A projected value of JSON records as VARIANT, found natively where no list is on the way."""
+    """A projected value of JSON records as VARIANT. A path of several names may meet lists, which only the records tell."""
     if cursor is None:
         return F.parse_json(DOC)
     many = cursor if isinstance(cursor, list) else [cursor]
+    got = [F.try_variant_get(F.parse_json(DOC), f"$[{json.dumps(p[0], ensure_ascii=False)}]", "variant") if len(p) == 1 else F.parse_json(_reached(p)) for p in many]
+    return got[0] if not isinstance(cursor, list) else F.array(*got)
 
-    def along(v: Column, path: Depth) -> Column:
-        if not path:
-            return v
-        inner = along(F.try_variant_get(v, "$" + f"[{json.dumps(path[0], ensure_ascii=False)}]", "variant"), path[1:])
-        return inner
 
-    got = [along(F.parse_json(DOC), p) for p in many]
-    return got[0] if not isinstance(cursor, list) else F.array(*got)
+def _reached(path: Depth) -> Column:
+    """What is at a path of the JSON records, as JSON; null where there is nothing."""
+
+    @F.arrow_udf("string")
+    def reached(docs: pa.Array) -> pa.Array:
+        found = (records.look(json.loads(d), path) for d in docs.to_pylist())
+        return pa.array([None if v is None else json.dumps(v, ensure_ascii=False) for v in found], pa.string())
+
+    return reached(F.col(DOC))
+
+
+def _fits(old: T.DataType, new: T.DataType) -> bool:
+    """Whether every value of the old type is one of the new."""
+    wider = {T.DoubleType: (T.FloatType, T.ByteType, T.ShortType, T.IntegerType), T.LongType: (T.ByteType, T.ShortType, T.IntegerType), T.IntegerType: (T.ByteType, T.ShortType)}
+    return old == new or isinstance(old, wider.get(type(new), ()) + (T.NullType,))
 
 
 def _typed_call(df: DataFrame, cursor: Cursor, func: Callable, returns: str, overwrite: bool) -> DataFrame:
-    """A Python function over the projected values in Arrow batches: bools filter, other results are written."""
-    ship_code(df.sparkSession)
-    args = typed.arguments(df, cursor)
+    """A Python function over the projected values in Arrow batches: bools filter, other results are written.
 
-    @F.pandas_udf(f"keep boolean, value {returns}")
-    def call(packed: pd.DataFrame) -> pd.DataFrame:
+    Values come as Python has them: integers stay whole beside nulls, and NaN
+    isn't null. The result has the type ``returns``, whatever was there. A
+    function that keeps some records by True and gives others a value of another
+    type needs ``returns="variant"``, which holds both.
+    """
+    ship_code(df.sparkSession)
+    many, several = (cursor, True) if isinstance(cursor, list) else ([cursor], False)
+    free = returns == "variant"
+    made = df.select(F.lit(None).cast(returns).alias("x")).schema["x"].dataType
+    new = made.elementType if several and isinstance(made, T.ArrayType) else made
+    old = [] if cursor is None else [df.select(typed.at(df, p, False).alias("x")).schema["x"].dataType for p in many]
+    keeps = free or all(_fits(k, new) for k in old)
+    kind = to_arrow_type(T.StringType() if free else made)
+
+    @F.arrow_udf(f"struct<keep: boolean, value: {'string' if free else returns}>")
+    def call(packed: pa.Array) -> pa.Array:
         keep, value = [], []
-        for row in packed.itertuples(index=False):
-            row = [None if isinstance(x, float) and x != x else x for x in row]
-            result = func(row if isinstance(cursor, list) else row[0])
+        for row in packed.to_pylist():
+            given = list(row.values())
+            result = func(given if several else given[0])
             is_bool = isinstance(result, bool)
+            if result is True and not keeps:
+                raise ValueError(f"True keeps a value that isn't of the type {returns}; with returns='variant' both can be")
             keep.append(result if is_bool else None)
-            value.append(None if is_bool else result)
-        return pd.DataFrame({"keep": pd.Series(keep, dtype="object"), "value": pd.Series(value, dtype="object")})
+            value.append(None if is_bool else json.dumps(result, ensure_ascii=False, default=str) if free else result)
+        return pa.StructArray.from_arrays([pa.array(keep, pa.bool_()), pa.array(value, kind)], names=["keep", "value"])
 
-    done = df.withColumn("__c", call(F.struct(*[a.alias(f"a{i}") for i, a in enumerate(args)]))).where("__c.keep is null or __c.keep")
+    done = df.withColumn("__c", call(F.struct(*[a.alias(f"a{i}") for i, a in enumerate(typed.arguments(df, cursor))]))).where("__c.keep is null or __c.keep")
     if cursor is None:
         return done.drop("__c")
-    for i, p in enumerate(cursor if isinstance(cursor, list) else [cursor]):
-        new = F.col("__c.value")[i] if isinstance(cursor, list) else F.col("__c.value")
-        done = typed.write(done, p, F.when(F.col("__c.keep").isNull(), new).otherwise(typed.at(df, p, False)), overwrite)
+    value = F.parse_json("__c.value") if free else F.col("__c.value")
+    kept = [typed.at(df, p, False) for p in many]
+    for i, p in enumerate(many):
+        given = (F.try_variant_get(value, f"$[{i}]", "variant") if free else value[i]) if several else value
+        own = typed.as_variant(kept[i], old[i]) if free else kept[i] if keeps else None
+        done = typed.write(done, p, given if own is None else F.when(F.col("__c.keep").isNull(), given).otherwise(own), overwrite)
     return done.drop("__c")
 
 
@@ -592,6 +689,6 @@ def _aggregate_docs(df: DataFrame, cursor: Cursor) -> DataFrame:
     values = records.run(df, lambda r: () if none(records.seen_by(r, cursor)) else ({"v": records.seen_by(r, cursor)},))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct(F.col(POS).alias("p"), F.col(DOC).alias("d")))), lambda x: x["d"])
     made = values.agg(F.concat(F.lit("["), F.array_join(ordered, ","), F.lit("]")).alias("__b"), F.count(F.lit(1)).alias("__n")).where("__n > 0")
-    made = made.select(F.lit(-1).cast(df.schema[POS].dataType).alias(POS), F.to_json(F.struct(F.col("__b").alias("b"))).alias(DOC))
+    made = made.select(typed.before(df).alias(POS), F.to_json(F.struct(F.col("__b").alias("b"))).alias(DOC))
     path = ("aggregated",) if isinstance(cursor, list) else cursor
-    return records.run(made, lambda r: (records.put({}, path, [x["v"] for x in json.loads(r["b"])]),)).unionByName(rest)
+    return records.run(made, lambda r: (records.put({}, path, [x["v"] for x in json.loads(r["b"])]),)).unionByName(rest.withColumn(POS, typed.after()))

@@ -165,6 +165,30 @@ def group(df: DataFrame, cursor: Cursor, target: str, recurse: bool = False) ->
     return grouped.select(POS, *[c.alias(n) for n, c in named.items()])
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, also where lambdas use it for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def binned(items: Column, key: Callable[[Column], Column], name: str, target: str) -> Column:
+    """The items of a list in groups, first seen first: one sort of (key, place), then a slice for each group."""
+
+    def cut(ranked: Column) -> Column:
+        n = F.size(ranked)
+        new = lambda j: (j == 1) | ~ranked[j - 1]["k"].eqNullSafe(ranked[j - 2]["k"])
+        starts = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda j: (j <= n) & new(j))
+
+        def groups(at: Column) -> Column:
+            end = lambda g: F.coalesce(F.get(at, g + 1), n + 1)
+            spans = F.array_sort(F.transform(at, lambda j, g: F.struct(ranked[j - 1]["i"].alias("i"), j.alias("from"), (end(g) - j).alias("n"))))
+            held = lambda s: F.transform(F.slice(ranked, s["from"], s["n"]), lambda r: items[r["i"]])
+            return F.transform(spans, lambda s: F.struct(ranked[s["from"] - 1]["k"].alias(name), held(s).alias(target)))
+
+        return let(starts, groups)
+
+    return let(F.array_sort(F.transform(items, lambda x, i: F.struct(key(x).alias("k"), i.alias("i")))), cut)
+
+
 def group_inside(df: DataFrame, path: Depth, n: int, target: str, recurse: bool) -> DataFrame:
     """Regroup the list that ``n`` names lead to, in place and without a shuffle."""
     found = compile_path(record_type(df), path[:n])
@@ -179,8 +203,7 @@ def group_inside(df: DataFrame, path: Depth, n: int, target: str, recurse: bool)
 
             return F.transform(items, regroup)
         key = lambda x: step(Found(x, element), rest).col
-        distinct = F.array_distinct(F.transform(items, key))
-        return F.transform(distinct, lambda k: F.struct(k.alias(rest[-1]), F.filter(items, lambda x: key(x).eqNullSafe(k)).alias(target)))
+        return binned(items, key, rest[-1], target)
 
     return write(df, path[:n], F.when(found.col.isNotNull(), grouped(found.col, found.kind.elementType, path[n:])))
 
@@ -197,15 +220,19 @@ def _all_null(col: Column, kind: T.DataType) -> Column:
 
 
 def aggregate(df: DataFrame, cursor: Cursor) -> DataFrame:
-    """One record with all values at the path, before the records that have none."""
+    """One record with all values at the path, before the records that have none.
+
+    The record has that path alone; as fields are columns, the others are null in it.
+    Over several paths each value is a list: of VARIANT where their types differ.
+    """
     if cursor is None:
         return df
-    first = F.lit(-1).cast("long")
     if isinstance(cursor, list):
         found = [compile_path(record_type(df), p, False) for p in cursor]
         none = reduce(lambda a, b: a & b, [f.col.isNull() for f in found])
-        names = [f"v{i}" for i in range(len(found))]
-        value = F.struct(*[f.col.alias(n) for n, f in zip(names, found, strict=True)])
+        # A list of values holds one type: that of all, or VARIANT.
+        alike = all(f.kind == found[0].kind for f in found)
+        value = F.array(*[f.col if alike else as_variant(f.col, f.kind) for f in found])
         path: Depth = ("aggregated",)
         rest = df.where(none)
     else:
@@ -221,7 +248,20 @@ def aggregate(df: DataFrame, cursor: Cursor) -> DataFrame:
     nested = F.col("__a")
     for name in reversed(path[1:]):
         nested = F.struct(nested.alias(name))
-    return made.select(first.alias(POS), nested.alias(path[0])).unionByName(rest.withColumn(POS, F.col(POS).cast("long")), allowMissingColumns=True)
+    return made.select(before(df).alias(POS), nested.alias(path[0])).unionByName(rest.withColumn(POS, after()), allowMissingColumns=True)
+
+
+def before(df: DataFrame) -> Column:
+    """A position before all of ``df``, whatever orders it; the others take ``after``."""
+    return F.struct(F.lit(0).alias("side"), F.lit(None).cast(df.schema[POS].dataType).alias("pos"))
+
+
+def after() -> Column:
+    return F.struct(F.lit(1).alias("side"), F.col(POS).alias("pos"))
+
+
+def as_variant(col: Column, kind: T.DataType) -> Column:
+    return F.to_variant_object(col) if isinstance(kind, T.StructType | T.ArrayType | T.MapType) else col.cast("variant")
 
 
 def _siblings(df: DataFrame, path: Depth) -> bool:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -74,6 +75,9 @@ def step(at: Found, names: Sequence[str], cross_lists: bool = True) -> Found:
         return _null() if inner is None else step(Found(at.col.getField(head), inner, at.lists), rest, cross_lists)
     if isinstance(at.kind, T.MapType) and isinstance(at.kind.keyType, T.StringType):
         return step(Found(F.try_element_at(at.col, F.lit(head)), at.kind.valueType, at.lists), rest, cross_lists)
+    if isinstance(at.kind, T.VariantType):
+        # What is below a VARIANT is one too. Lists inside it aren't crossed: only its rows know of them.
+        return step(Found(F.try_variant_get(at.col, f"$[{json.dumps(head, ensure_ascii=False)}]", "variant"), at.kind, at.lists), rest, cross_lists)
     if isinstance(at.kind, T.ArrayType) and cross_lists:
         element = at.kind.elementType
         if isinstance(element, T.StructType):

@@ -331,6 +331,12 @@ def _spark_type(t: SchemaType | Branch) -> T.DataType:
         return to_spark(t)
     if isinstance(t, UnionType):
         rest = [x for x in t.types if not isinstance(x, NullType)]
+        if rest and all(isinstance(x, ListType) for x in rest):
+            # An empty list has items of no type, and so goes with any other.
+            items = [x.item for x in rest if not isinstance(x.item, NullType)]
+            kinds = [_spark_type(x) for x in items]
+            alike = all(k == kinds[0] for k in kinds)
+            return T.ArrayType((kinds[0] if alike else T.VariantType()) if kinds else T.NullType())
         return _spark_type(rest[0]) if len(rest) == 1 else T.VariantType()
     if isinstance(t, ListType):
         return T.ArrayType(_spark_type(t.item))

@@ -21,6 +21,7 @@ from boughs.operators.records import DOC
 from boughs.session import ship_code
 
 from .schema import Schema, decode, encode, infer_schema
+from .types import FunctionType, ThunkFunctionType
 
 
 @dataclass
@@ -104,7 +105,7 @@ def build(df: DataFrame, exact: bool = False) -> Catalog:
 
 
 def fits(record: object, shape: dict) -> bool:
-    """Whether a record has the fields of a shape, of its types."""
+    """Whether a record has the fields of a shape, of its types. A predicate type decides on any value, null too."""
     if not isinstance(record, dict):
         return False
     for name, want in shape.items():
@@ -112,6 +113,9 @@ def fits(record: object, shape: dict) -> bool:
         if isinstance(want, dict):
             if not fits(value, want):
                 return False
+        elif isinstance(want, FunctionType | ThunkFunctionType):
+            if not want(value):
+                return False
         elif value is None or (want not in (None, object) and type(value) is not want):
             return False
     return True

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,8 @@ from boughs import streaming
 from boughs.core import DataTree
 from boughs.functions import flatten_column, isna, native
 from boughs.plans.schema import Leaf, Schema
-from boughs.plans.types import PrimitiveType
+from boughs.plans.types import FunctionType, PrimitiveType
+from boughs.session import shared_folder
 from boughs.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -115,6 +117,21 @@ def row_negative(spark, sf_dir):
     return _tree(spark, sf_dir, "orders", "o_orderkey")[-25:, "o_orderkey"].to_df()
 
 
+@_query("SELECT o_orderkey FROM orders QUALIFY row_number() OVER (ORDER BY o_orderkey DESC) BETWEEN 11 AND 40")
+def row_back(spark, sf_dir):
+    return _tree(spark, sf_dir, "orders", "o_orderkey")[-40:-10, "o_orderkey"].to_df()
+
+
+@_query("SELECT o_orderkey FROM orders QUALIFY row_number() OVER (ORDER BY o_orderkey) > 100 AND row_number() OVER (ORDER BY o_orderkey DESC) > 50")
+def row_middle(spark, sf_dir):
+    return _tree(spark, sf_dir, "orders", "o_orderkey")[100:-50, "o_orderkey"].to_df()
+
+
+@_query("SELECT o_orderkey FROM orders QUALIFY row_number() OVER (ORDER BY o_orderkey) IN (3, 10, 17, 24)")
+def row_front_step(spark, sf_dir):
+    return _tree(spark, sf_dir, "orders", "o_orderkey")[2:30:7, "o_orderkey"].to_df()
+
+
 @_query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey DESC) - 1 AS place FROM orders")
 def row_reverse(spark, sf_dir):
     turned = _tree(spark, sf_dir, "orders", "o_orderkey")[::-1]
@@ -183,6 +200,37 @@ def mixed_keep_map(spark, sf_dir):
     return rows.shallow(lambda s: False if s == "F" else s.lower(), returns="string")[:, ["o_orderkey", "o_orderstatus"]].to_df()
 
 
+@_query("SELECT c_custkey, 'nation ' || c_nationkey AS c_nationkey FROM customer")
+def map_retype(spark, sf_dir):
+    """A Python map from a number to a text."""
+    rows = _tree(spark, sf_dir, "customer", "c_custkey")[:, "c_nationkey"]
+    return rows.shallow(lambda n: f"nation {n}", returns="string")[:, ["c_custkey", "c_nationkey"]].to_df()
+
+
+@_query("SELECT event_type, count(*) AS ids FROM events GROUP BY event_type")
+def map_list_to_number(spark, sf_dir):
+    """A Python map from a list to a number."""
+    groups = _tree(spark, sf_dir, "events", "event_id").path(["event_type", "event_id"])[:, "event_type"].group_by("ids")
+    counted = groups.chain(lambda df: df.withColumn("ids", F.col("ids.event_id")))[:, "ids"].shallow(len, returns="long")
+    return counted[:, ["event_type", "ids"]].to_df()
+
+
+@_query("SELECT c_custkey, CASE WHEN c_nationkey % 2 = 0 THEN c_nationkey::VARCHAR ELSE '<odd>' END AS c_nationkey FROM customer WHERE c_nationkey % 3 > 0")
+def map_keep_or_retype(spark, sf_dir):
+    """One Python function that drops, keeps and gives values of another type."""
+    rows = _tree(spark, sf_dir, "customer", "c_custkey")[:, "c_nationkey"]
+    found = rows.shallow(lambda n: False if n % 3 == 0 else True if n % 2 == 0 else "<odd>", returns="variant")[:, ["c_custkey", "c_nationkey"]].to_df()
+    return found.select("c_custkey", F.try_variant_get("c_nationkey", "$", "string").alias("c_nationkey"))
+
+
+@_query("SELECT c_custkey, CASE WHEN c_custkey % 7 > 0 THEN c_custkey + 1152921504606846976 END AS big FROM customer WHERE c_custkey % 7 = 0 OR c_custkey % 2 = 1")
+def map_null_beside_numbers(spark, sf_dir):
+    """Large integers and nulls in one batch: Python sees ints and None."""
+    rows = _table(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_custkey") % 7 > 0, F.col("c_custkey") + (1 << 60)).alias("big"))
+    odd = DataTree.from_df(rows, "c_custkey")[:, "big"].shallow(lambda b: True if b is None else isinstance(b, int) and b % 2 == 1, returns="long")
+    return odd[:, ["c_custkey", "big"]].to_df()
+
+
 @_query("SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING'")
 def isna_rows(spark, sf_dir):
     return _gappy(spark, sf_dir)[:, "c_mktsegment"].isna()[:, "c_custkey"].to_df()
@@ -198,15 +246,19 @@ def not_null_result(spark, sf_dir):
     return _gappy(spark, sf_dir)[:, "c_mktsegment"].not_(native(lambda s: s == "MACHINERY"))[:, "c_custkey"].to_df()
 
 
-@_query("SELECT n_nationkey * 10 AS n_nationkey, lower(n_name) AS n_name, n_regionkey * 10 AS n_regionkey FROM nation")
+@_query("SELECT conv_id * 10 AS conv_id, string_agg(turn * 10 || lower(coalesce(role, '-')), ',' ORDER BY turn) AS turns FROM conversations GROUP BY conv_id")
 def deep_map(spark, sf_dir):
-    return _tree(spark, sf_dir, "nation", "n_nationkey").deep({T.StringType: F.lower, T.IntegralType: lambda x: x * 10}).to_df()
+    """All leaves of conversations with their turns as lists of records."""
+    grouped = _tree(spark, sf_dir, "conversations", ["conv_id", "turn"])[:, "conv_id"].group_by()
+    found = grouped.deep({T.StringType: F.lower, T.IntegralType: lambda x: x * 10}).to_df()
+    said = F.transform("members", lambda m: F.concat(m["turn"].cast("string"), F.coalesce(m["role"], F.lit("-"))))
+    return found.select("conv_id", F.array_join(said, ",").alias("turns"))
 
 
-@_query("SELECT n_nationkey * 10 AS n_nationkey, n_name, n_regionkey * 10 AS n_regionkey FROM nation")
+@_query("SELECT o_orderkey * 10 AS o_orderkey, o_orderstatus FROM orders")
 def deep_udf(spark, sf_dir):
-    rows = _tree(spark, sf_dir, "nation", "n_nationkey").deep(lambda v: v * 10 if isinstance(v, int) else v)
-    return rows.as_typed("n_nationkey int, n_name string, n_regionkey int").to_df()
+    rows = _tree(spark, sf_dir, "orders", "o_orderkey").path(["o_orderkey", "o_orderstatus"]).deep(lambda v: v * 10 if isinstance(v, int) else v)
+    return rows.as_typed("o_orderkey long, o_orderstatus string").to_df()
 
 
 @_query("SELECT c_custkey, 'X' AS c_mktsegment FROM customer")
@@ -242,10 +294,10 @@ def group_composite(spark, sf_dir):
     return groups.select("l_returnflag", "l_linestatus", F.size("rows").cast("long").alias("n"), F.array_max(F.col("rows.l_quantity")).alias("most"))
 
 
-@_query("SELECT CAST(NULL AS VARCHAR) AS \"group\", count(*) AS n, string_agg(r_name, ',' ORDER BY r_regionkey) AS names FROM region")
+@_query("SELECT CAST(NULL AS VARCHAR) AS \"group\", count(*) AS n, string_agg(s_name, ',' ORDER BY s_suppkey) AS names FROM supplier")
 def group_all(spark, sf_dir):
-    groups = _tree(spark, sf_dir, "region", "r_regionkey").group_by().to_df()
-    return groups.select("group", F.size("members").cast("long").alias("n"), F.array_join("members.r_name", ",").alias("names"))
+    groups = _tree(spark, sf_dir, "supplier", "s_suppkey").group_by().to_df()
+    return groups.select("group", F.size("members").cast("long").alias("n"), F.array_join("members.s_name", ",").alias("names"))
 
 
 @_query("SELECT c_nationkey, nullif(c_mktsegment, 'BUILDING') AS c_mktsegment, count(*) AS n, min(c_custkey) AS first FROM customer GROUP BY ALL")
@@ -255,6 +307,25 @@ def group_nested(spark, sf_dir):
     return rows.select("c_nationkey", "g.c_mktsegment", F.size("g.members").cast("long").alias("n"), F.col("g.members")[0]["c_custkey"].alias("first"))
 
 
+@_query("SELECT event_type, user_id, count(*) AS n, min(event_id) AS first, max(event_id) AS last FROM events GROUP BY ALL")
+def group_inner_many(spark, sf_dir):
+    """Many groups inside a few large ones."""
+    rows = _tree(spark, sf_dir, "events", "event_id").path(["event_id", "event_type", "user_id"])
+    nested = rows[:, "event_type"].group_by()[:, "members.user_id"].group_by("rows").to_df()
+    inner = nested.select("event_type", F.explode("members").alias("g"))
+    return inner.select("event_type", "g.user_id", F.size("g.rows").cast("long").alias("n"), F.col("g.rows")[0]["event_id"].alias("first"), F.array_max("g.rows.event_id").alias("last"))
+
+
+@_query("SELECT c_nationkey, c_mktsegment, CAST(c_custkey % 2 AS BIGINT) AS odd, count(*) AS n FROM customer GROUP BY ALL")
+def group_recurse(spark, sf_dir):
+    """Groups in groups in groups."""
+    rows = _table(spark, sf_dir, "customer").withColumn("odd", F.col("c_custkey") % 2)
+    one = DataTree.from_df(rows, "c_custkey")[:, "c_nationkey"].group_by()
+    three = one[:, "members.c_mktsegment"].group_by()[:, "members.members.odd"].group_by(recurse=True).to_df()
+    deep = three.select("c_nationkey", F.explode("members").alias("g")).select("c_nationkey", "g.c_mktsegment", F.explode("g.members").alias("h"))
+    return deep.select("c_nationkey", "c_mktsegment", F.col("h.odd").cast("long").alias("odd"), F.size("h.members").cast("long").alias("n"))
+
+
 @_query("SELECT CAST(c_custkey % 3 AS BIGINT) AS a, count(*) AS n FROM customer GROUP BY ALL")
 def group_list_key(spark, sf_dir):
     rows = _table(spark, sf_dir, "customer").select("c_custkey", F.array((F.col("c_custkey") % 3)).alias("key"))
@@ -274,10 +345,28 @@ def aggregate_single(spark, sf_dir):
     return rows.select("c_custkey", F.array_join("c_mktsegment", ",").alias("segments"))
 
 
-@_query("SELECT string_agg(r_regionkey || '=' || r_name, ',' ORDER BY r_regionkey) AS pairs FROM region")
+@_query("WITH c AS (SELECT c_custkey, c_nationkey, nullif(c_mktsegment, 'BUILDING') AS s FROM customer) SELECT string_agg(coalesce(s, '-') || '=' || coalesce(n, '-'), ',' ORDER BY c_custkey) AS pairs FROM (SELECT c_custkey, s, CASE WHEN c_nationkey > 9 THEN c_nationkey::VARCHAR END AS n FROM c) WHERE s IS NOT NULL OR n IS NOT NULL UNION ALL SELECT NULL FROM c WHERE s IS NULL AND c_nationkey <= 9")
 def aggregate_breadth(spark, sf_dir):
-    rows = _tree(spark, sf_dir, "region", "r_regionkey")[:, ["r_regionkey", "r_name"]].aggregate().to_df()
-    return rows.select(F.array_join(F.transform("aggregated", lambda p: F.concat_ws("=", p["v0"].cast("string"), p["v1"])), ",").alias("pairs"))
+    """Lists of a text and a number, either of which may be null; customers with neither stay as they are."""
+    rows = _gappy(spark, sf_dir).path(["c_custkey", "c_nationkey", "c_mktsegment"]).chain(lambda df: df.withColumn("c_nationkey", F.when(F.col("c_nationkey") > 9, F.col("c_nationkey"))))
+    found = rows[:, ["c_mktsegment", "c_nationkey"]].aggregate().to_df()
+    text = lambda v: F.coalesce(F.try_variant_get(v, "$", "string"), F.lit("-"))
+    return found.select(F.array_join(F.transform("aggregated", lambda p: F.concat_ws("=", text(p[0]), text(p[1]))), ",").alias("pairs"))
+
+
+@_query("SELECT NULL AS o_orderkey, string_agg(o_orderstatus, ',' ORDER BY o_orderdate, o_orderkey) AS states FROM orders WHERE o_orderstatus <> 'P' UNION ALL SELECT o_orderkey, NULL FROM orders WHERE o_orderstatus = 'P'")
+def aggregate_two_keys(spark, sf_dir):
+    """The records are ordered by two columns."""
+    rows = _table(spark, sf_dir, "orders").withColumn("o_orderstatus", F.nullif("o_orderstatus", F.lit("P")))
+    tree = DataTree.from_df(rows, ["o_orderdate", "o_orderkey"]).path(["o_orderkey", "o_orderstatus"])
+    return tree[:, "o_orderstatus"].aggregate().to_df().select("o_orderkey", F.array_join("o_orderstatus", ",").alias("states"))
+
+
+@_query("SELECT string_agg(name, ',' ORDER BY side, name) AS names FROM (SELECT 0 AS side, n_name AS name FROM nation UNION ALL SELECT 1, s_name FROM supplier)")
+def aggregate_union(spark, sf_dir):
+    """Two trees one after the other, each ordered by a text."""
+    first, second = (DataTree.from_df(_table(spark, sf_dir, t).select(F.col(c).alias("name")), "name") for t, c in (("nation", "n_name"), ("supplier", "s_name")))
+    return first.union(second)[:, "name"].aggregate().to_df().select(F.array_join("name", ",").alias("names"))
 
 
 @_query("SELECT c_custkey, c_mktsegment AS seg FROM customer")
@@ -323,8 +412,19 @@ def flatten_lists(spark, sf_dir):
     return flat.to_df().withColumnRenamed("items", "x").select(F.col("x")[0].alias("c_custkey"), F.array_join("x", ",").alias("items"))
 
 
-@_query("SELECT event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events WHERE json_extract(props, '$.k') IS NOT NULL GROUP BY ALL")
+@_query("SELECT unnest(regexp_extract_all(text, '[a-z]{12,}')) AS tag, conv_id AS created FROM conversations WHERE text IS NOT NULL")
 def flagship(spark, sf_dir):
+    """Tags of feed items: a path through two lists, a null filter, flattened lists, without empty ones, a row for each tag."""
+    tags = F.transform(F.regexp_extract_all("text", F.lit("[a-z]{12,}"), F.lit(0)), lambda w: F.struct(w.alias("tag")))
+    said = _table(spark, sf_dir, "conversations").select("conv_id", F.struct("turn", F.when(F.col("turn") >= 0, tags).alias("features")).alias("f"))
+    feed = said.groupBy("conv_id").agg(F.sort_array(F.collect_list("f")).alias("facets")).select("conv_id", F.struct(F.struct("facets", F.col("conv_id").alias("created")).alias("record")).alias("post"))
+    found = DataTree.from_df(feed, "conv_id").path(["post.record.facets.features.tag", "post.record.created"])
+    flat = found[:, "tag"].not_(isna).shallow(native(lambda t: flatten_column(t, 2))).not_(native(lambda t: F.forall(t, lambda x: x.isNull())))
+    return flat[:, ["tag", "created"]].explode()[:, "tag"].not_(isna)[:, ["tag", "created"]].to_df()
+
+
+@_query("SELECT event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events WHERE json_extract(props, '$.k') IS NOT NULL GROUP BY ALL")
+def group_chain(spark, sf_dir):
     """Paths, a null filter, groups and groups in groups."""
     found = _events(spark, sf_dir).path(["event_type", "props.k"])[:, "k"].not_(isna)
     nested = found[:, "event_type"].group_by()[:, "members.k"].group_by().to_df()
@@ -390,9 +490,84 @@ def project_schema(spark, sf_dir):
     return _tree(spark, sf_dir, "orders", "o_orderkey")[:].project(wanted).to_df()
 
 
+def _talks(spark: SparkSession, sf_dir: str) -> DataTree:
+    """Conversations as JSON records with a list of turns; a role may be null."""
+    turns = F.sort_array(F.collect_list(F.struct("turn", "role")))
+    rows = _table(spark, sf_dir, "conversations").groupBy("conv_id").agg(turns.alias("turns"))
+    return files.json_column(rows.select("conv_id", F.to_json(F.struct("conv_id", F.struct("turns").alias("said"))).alias("j")), "j", "conv_id")
+
+
+@_query("SELECT conv_id, string_agg(coalesce(role, '-'), ',' ORDER BY turn, role NULLS FIRST) AS roles FROM conversations GROUP BY conv_id")
+def record_list_cross(spark, sf_dir):
+    """A path through a list that only the records know of."""
+    found = _talks(spark, sf_dir)[:, ["conv_id", "said.turns.role"]].to_df()
+    roles = F.transform(found["role"].cast("array<string>"), lambda r: F.coalesce(r, F.lit("-")))
+    return found.select(found["conv_id"].cast("long").alias("conv_id"), F.array_join(roles, ",").alias("roles"))
+
+
+@_query("SELECT conv_id, string_agg(turn::VARCHAR, ',' ORDER BY turn) AS turns FROM conversations GROUP BY conv_id")
+def record_add_list(spark, sf_dir):
+    """What such a path leads to, as a field of each record."""
+    tree = _talks(spark, sf_dir)
+    found = tree.add_path("about.turns", tree[:, "said.turns.turn"]).as_typed("conv_id long, about struct<turns: array<long>>").to_df()
+    return found.select("conv_id", F.array_join(F.col("about.turns").cast("array<string>"), ",").alias("turns"))
+
+
+@_query("SELECT n_nationkey, n_name FROM nation WHERE n_nationkey BETWEEN 3 AND 20")
+def memory_records(spark, sf_dir):
+    """Records from a list and from an iterator, one after the other."""
+    held = [r.asDict() for r in _table(spark, sf_dir, "nation").orderBy("n_nationkey").collect()]  # 25 rows at any scale
+    tree = DataTree(held[3:12], spark=spark).union(DataTree(iter(held[12:21]), True, spark))
+    return tree.path(["n_nationkey", "n_name"]).as_typed("n_nationkey int, n_name string").to_df()
+
+
+@_query("SELECT event_id AS id, event_type AS kind, row_number() OVER (ORDER BY event_id) - 1 AS place FROM events WHERE event_id % 3 = 0")
+def json_lines_files(spark, sf_dir):
+    """JSON records written to files, read back in their order."""
+    folder = f"{shared_folder(spark)}/json-lines-{uuid.uuid4().hex}"
+    wanted = _table(spark, sf_dir, "events").where("event_id % 3 = 0").select("event_id", F.col("event_type").alias("kind")).orderBy("event_id")
+    wanted.select(F.to_json(F.struct(F.col("event_id").alias("id"), "kind")).alias("value")).write.text(folder)
+    return files.json_lines(spark, folder).as_typed("id long, kind string").numbered("place")
+
+
+@_query("SELECT event_id, user_id FROM events WHERE event_id % 3 = 2 AND user_id % 2 = 0")
+def matching_predicate(spark, sf_dir):
+    """Records whose field is a member of a type given by a predicate."""
+    even = FunctionType(lambda u: isinstance(u, int) and u % 2 == 0)
+    found = _mixed(spark, sf_dir).matching({"user_id": even})
+    return found.df.select(F.col("__pos").alias("event_id"), F.get_json_object("__doc", "$.user_id").cast("long").alias("user_id"))
+
+
 # Several trees
 
 
+@_query("SELECT c_custkey FROM customer WHERE c_acctbal > 0 INTERSECT SELECT o_custkey FROM orders WHERE o_orderstatus = 'F'")
+def intersect_trees(spark, sf_dir):
+    rich = DataTree.from_df(_table(spark, sf_dir, "customer").where("c_acctbal > 0").select("c_custkey"), "c_custkey")
+    done = DataTree.from_df(_table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+    return rich.intersect(done).to_df()
+
+
+@_query("SELECT c_custkey FROM customer WHERE c_acctbal > 0 EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'F'")
+def subtract_trees(spark, sf_dir):
+    rich = DataTree.from_df(_table(spark, sf_dir, "customer").where("c_acctbal > 0").select("c_custkey"), "c_custkey")
+    done = DataTree.from_df(_table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+    return rich.subtract(done).to_df()
+
+
+@_query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20")
+def sorted_top(spark, sf_dir):
+    """The first records in another order."""
+    rows = _tree(spark, sf_dir, "orders", "o_orderkey")[:, ["o_totalprice", "o_orderkey"]].sort(descending=[True, False])
+    return rows.head(20).path(["o_orderkey", "o_totalprice"]).to_df()
+
+
+@_query("SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY ALL HAVING count(*) > 10")
+def sql_view(spark, sf_dir):
+    """A tree as a view that SQL reads."""
+    return _tree(spark, sf_dir, "orders", "o_orderkey").sql("SELECT o_orderpriority, count(*) AS n FROM {tree} GROUP BY ALL HAVING count(*) > 10")
+
+
 @_query("SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey")
 def merge_inner(spark, sf_dir):
     customers = DataTree.from_df(_table(spark, sf_dir, "customer").withColumnRenamed("c_custkey", "o_custkey"), "o_custkey")
@@ -405,9 +580,9 @@ def merge_left(spark, sf_dir):
     return _tree(spark, sf_dir, "documents", "doc_id").merge(labels, "doc_id", "left").path(["doc_id", "source", "quality"]).to_df()
 
 
-@_query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@_query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
 def merge_anti(spark, sf_dir):
-    orders = DataTree.from_df(_table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "c_custkey"), "o_orderkey")
+    orders = DataTree.from_df(_table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").withColumnRenamed("o_custkey", "c_custkey"), "o_orderkey")
     return _tree(spark, sf_dir, "customer", "c_custkey").merge(orders, "c_custkey", "anti").path(["c_custkey"]).to_df()
 
 

@@ -3,12 +3,27 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 
 from pyspark.sql import SparkSession
 
 _sent: set[str] = set()
+_own: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors see, by ``spark.checkpoint.dir``. Only on a local master may it be a temporary one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        context = spark.sparkContext
+        if not re.match(r"local(\[[^-]*\])?$", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        if context.applicationId not in _own:
+            _own[context.applicationId] = tempfile.mkdtemp(prefix="boughs-")
+        folder = _own[context.applicationId]
+    return folder.rstrip("/")
 
 
 def ship_code(spark: SparkSession) -> None:

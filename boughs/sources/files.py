@@ -11,9 +11,14 @@ from boughs.operators.records import DOC
 
 
 def json_lines(spark: SparkSession, path: str) -> DataTree:
-    """Lines that aren't JSON objects, and blank ones, are left out; see rejected()."""
+    """Records in the order of the files' names and of their lines.
+
+    Lines that aren't JSON objects, and blank ones, are left out; see rejected().
+    """
     lines = _lines(spark, path)
-    return DataTree._of(lines.where(_is_object()).select(F.monotonically_increasing_id().alias(POS), F.col("value").alias(DOC)))
+    # Spark deals large splits first, so ids alone aren't in the order of the files; within a split they go as its lines.
+    pos = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("line"))
+    return DataTree._of(lines.where(_is_object()).select(pos.alias(POS), F.col("value").alias(DOC)))
 
 
 def rejected(spark: SparkSession, path: str) -> DataFrame:

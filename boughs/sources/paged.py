@@ -19,6 +19,10 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, SimpleDataSourc
 Page = dict
 
 
+class PageError(OSError):
+    """A page could not be had."""
+
+
 def with_retries(fetch: Callable[[], Page], tries: int = 5, delay: float = 1.0, factor: float = 2.0, sleep: Callable[[float], None] = time.sleep) -> Page | None:
     """The page, or None once all tries have failed. Waits grow by ``factor``, with jitter."""
     for turn in range(tries):
@@ -30,14 +34,20 @@ def with_retries(fetch: Callable[[], Page], tries: int = 5, delay: float = 1.0,
     return None
 
 
-def pages(fetch: Callable[[str | None, int], Page], limit: int = 100, max_pages: int | None = None, cursor: str | None = None, pause: float = 0.0, **retries) -> Iterator[tuple[dict, str | None]]:
-    """(item, cursor after its page) until there is no further cursor, the page limit, or a page that can't be had."""
+def pages(fetch: Callable[[str | None, int], Page], limit: int = 100, max_pages: int | None = None, cursor: str | None = None, pause: float = 0.0, on_failure: str = "raise", **retries) -> Iterator[tuple[dict, str | None]]:
+    """(item, cursor after its page) until there is no further cursor, or the page limit.
+
+    A page that can't be had is an error, as what follows it would be missing;
+    with ``on_failure="end"`` the items end there.
+    """
     n = 0
     while max_pages is None or n < max_pages:
         at = cursor
         page = with_retries(lambda: fetch(at, limit), **retries)
         if page is None:
-            return
+            if on_failure == "end":
+                return
+            raise PageError(f"no page at cursor {at!r} after {n} pages")
         cursor, n = page.get("cursor"), n + 1
         for item in page["items"]:
             yield item, cursor
@@ -92,7 +102,7 @@ class PagedSource(DataSource):
 
 
 def _settings(options: dict) -> dict:
-    return {"limit": int(options.get("limit", 100)), "max_pages": int(options["max_pages"]) if "max_pages" in options else None}
+    return {"limit": int(options.get("limit", 100)), "max_pages": int(options["max_pages"]) if "max_pages" in options else None, "on_failure": options.get("on_failure", "raise")}
 
 
 class _Reader(DataSourceReader):
@@ -118,7 +128,9 @@ class _StreamReader(SimpleDataSourceStreamReader):
             return iter([]), start
         page = with_retries(lambda: _fetcher(self.options)(start["cursor"], _settings(self.options)["limit"]))
         if page is None:
-            return iter([]), start
+            if _settings(self.options)["on_failure"] == "end":
+                return iter([]), start
+            raise PageError(f"no page at cursor {start['cursor']!r}")
         rows = [(start["n"] + i, json.dumps(x, ensure_ascii=False)) for i, x in enumerate(page["items"])]
         return iter(rows), {"cursor": page["cursor"], "n": start["n"] + len(rows), "end": page["cursor"] is None}
 

@@ -9,7 +9,6 @@ state, which a watermark bounds; see windowed(). What depends on a record's plac
 from __future__ import annotations
 
 import json
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -23,11 +22,12 @@ from boughs.operators.order import POS
 from boughs.operators.records import DOC
 from boughs.plans import variants
 from boughs.plans.schema import Schema, decode, encode
+from boughs.session import shared_folder
 
 
 def _folder(spark: SparkSession, name: str) -> str:
-    """A folder of its own in the storage that all executors share; in local mode without one, a temporary one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="boughs-stream-")
+    """A folder of its own in the storage that all executors share; a local master needs none, and takes a temporary one."""
+    shared = shared_folder(spark)
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

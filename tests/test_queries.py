@@ -18,7 +18,7 @@ def test_same_as_sql(spark, sf_dir, name):
 
 def test_entry(spark):
     entry = importlib.import_module("__spark_entry__")
-    assert entry.entry(spark).columns == ["event_type", "k", "n"]
+    assert entry.entry(spark).columns == ["tag", "created"]
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
@@ -27,7 +27,7 @@ def plan(df):
 
 
 def test_native_paths_run_no_python(spark, sf_dir):
-    for name in ("project_depth", "filter_native", "map_value", "flagship", "group_nested", "explode_lists", "assign_nested", "deep_map"):
+    for name in ("project_depth", "filter_native", "map_value", "flagship", "group_chain", "group_nested", "explode_lists", "assign_nested", "deep_map"):
         assert "Python" not in plan(own.queries()[name](spark, sf_dir)) and "Arrow" not in plan(own.queries()[name](spark, sf_dir))
 
 
