@@ -147,6 +147,58 @@ def test_bit_packing(bits):
         assert (token_files.unpack(raw, bits, a, b) == ids[a:b]).all()
 
 
+def _texts(n, size, seed, words=90):
+    rng = np.random.default_rng(seed)
+    return [" ".join("".join(rng.choice(list("aeinrst"), size + rng.integers(0, 2))) for _ in range(words)) for _ in range(n)]
+
+
+def test_limits_differ_by_source(spark):
+    """The same text is out where words are short, and kept where they are long; few documents lean on the rest."""
+    long_words = _texts(1, 12, 5)[0]
+    rows = [(i, t, "en", "chat") for i, t in enumerate(_texts(400, 3, 1))] + [(1000 + i, t, "en", "law") for i, t in enumerate(_texts(400, 12, 2))]
+    rows += [(2000, long_words, "en", "chat"), (2001, long_words, "en", "law"), (2002, long_words, "en", "new")]
+    got = {r.doc_id: r for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert (got[2000].kept, got[2001].kept, got[2002].kept) == (False, True, True)
+    assert all(got[i].kept for i, *_ in rows[:800]) and not any(r.base_failed for r in got.values())
+    # Words shorter than a source's usual ones are out as well.
+    rows.append((2003, _texts(1, 3, 6)[0], "en", "law"))
+    got = {r.doc_id: r.kept for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not got[2003]
+
+
+def test_limits_of_sparse_metrics_adapt(spark):
+    """No text has a symbol but a few: those with many are out. Where symbols are usual the same text is kept."""
+    plain, dotted = _texts(800, 5, 3), [t.replace(" ", " # ", 20) for t in _texts(300, 5, 4)]
+    odd = _texts(1, 5, 7)[0].replace(" ", " # ", 20)
+    rows = [(i, t, "en", "plain") for i, t in enumerate(plain)] + [(1000 + i, t, "en", "code") for i, t in enumerate(dotted)] + [(2000, odd, "en", "plain"), (2001, odd, "en", "code")]
+    got = {r.doc_id: r.kept for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert (got[2000], got[2001]) == (False, True) and sum(got[i] for i in range(800)) == 800
+
+
+def test_sketches_merge(spark, sf_dir):
+    """Sketches of parts, added up, are those of the whole, and so their limits; a bin holds values up to 1/16 apart."""
+    docs = table(spark, sf_dir, "documents")
+    figures = quality_rules.base_figures(docs).where("not base_failed").drop("text")
+    by = ["lang", "source"]
+    whole = quality_rules.sketch(figures, by)
+    parts = quality_rules.sketch(figures.where("doc_id % 3 = 0"), by).unionByName(quality_rules.sketch(figures.where("doc_id % 3 > 0"), by))
+    read = lambda df: sorted(map(str, df.select(*sorted(df.columns)).collect()))
+    assert read(quality_rules.merge(parts, by)) == read(whole) and read(quality_rules.limits(quality_rules.merge(parts, ["lang"]), ["lang"])) == read(quality_rules.limits(quality_rules.merge(whole, ["lang"]), ["lang"]))
+    n = spark.range(1, 20_000).selectExpr("id AS n_symbols", "524287L AS word_chars").withColumn("bin", quality_rules.bin_of("symbols"))
+    spans = n.groupBy("bin").agg(F.min("n_symbols").alias("a"), F.max("n_symbols").alias("b")).orderBy("bin").collect()
+    assert all(r.b <= r.a * (1 + 1 / 16) + 1 for r in spans) and [r.a for r in spans] == sorted(r.a for r in spans)
+
+
+def test_repeated_words_by_brute_force(spark):
+    rng = np.random.default_rng(8)
+    texts = [" ".join(rng.choice(list("abcd"), rng.integers(0, 60))) for _ in range(200)]
+    got = {r.doc_id: r.n_repeat_words for r in quality_rules.base_figures(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        w = t.split()
+        grams = [tuple(w[j : j + 3]) for j in range(len(w) - 2)]
+        assert got[i] == len({j + k for j, g in enumerate(grams) if grams.count(g) > 1 for k in range(3)})
+
+
 def test_token_files_of_odd_input(spark, tmp_path):
     """Each row comes back with the ids of the plain tokenizer: nulls, repeated and missing ids, control strings, no rows at all."""
     from tokenizers import Tokenizer
