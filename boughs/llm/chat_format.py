@@ -20,6 +20,8 @@ START, END = "<|im_start|>", "<|im_end|>"
 TURNS = "array<struct<role:string,text:string>>"
 #: Fields about a record that aren't said by anyone.
 ABOUT = ("id", "source", "dataset", "category", "lang", "language", "model", "timestamp", "created_at", "url", "license", "meta", "metadata")
+#: Fields about a turn, beside its role and text.
+ABOUT_TURN = ("id", "name", "timestamp", "weight", "index")
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "prompter": "user"}
 
 
@@ -36,6 +38,11 @@ class Layout:
     roles: Mapping[str, str] = field(default_factory=lambda: ROLES)
     #: Paths of further fields that records of this layout may have, with all below them; they aren't formatted.
     extra: tuple[str, ...] = ABOUT
+    #: The same for the items of a list of turns.
+    turn_extra: tuple[str, ...] = ABOUT_TURN
+
+    def further(self) -> list[str]:
+        return [*self.extra, *(f"{_quoted(self.turns)}[].{e}" for e in self.turn_extra if self.turns)]
 
     def paths(self) -> set[str]:
         if self.turns:
@@ -101,11 +108,15 @@ def leaf_paths(kind: Column) -> Column:
 
 
 def _fits(paths: Column, layout: Layout) -> Column:
-    """All paths of the layout are there, and what else there is lies at or below its extra fields."""
+    """All paths of the layout are there, or an empty list of turns, and what else there is lies at or below its extra fields."""
     own = F.array(*[F.lit(p) for p in sorted(layout.paths())])
     among = lambda p, e: (F.rtrim(p, F.lit("?")) == e) | F.startswith(p, F.lit(e + ".")) | F.startswith(p, F.lit(e + "["))
-    further = lambda p: reduce(lambda c, e: c | among(p, e), layout.extra, F.lit(False))
-    return (F.size(F.array_except(own, paths)) == 0) & F.forall(F.array_except(paths, own), further)
+    further = lambda p: reduce(lambda c, e: c | among(p, e), layout.further(), F.lit(False))
+    fits = (F.size(F.array_except(own, paths)) == 0) & F.forall(F.array_except(paths, own), further)
+    if not layout.turns:
+        return fits
+    none = f"{_quoted(layout.turns)}[]"
+    return fits | F.array_contains(paths, none) & F.forall(F.array_remove(paths, none), further)
 
 
 def _canonical_role(role: Column, layout: Layout) -> Column:
