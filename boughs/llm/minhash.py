@@ -24,8 +24,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Stash, small_batches, text_or_empty
 from .hashing import U, WordHashes, mix, shingles
@@ -261,15 +262,20 @@ def _relabelled(labels: DataFrame, merged: DataFrame) -> DataFrame:
 def deduplicate(docs: DataFrame, shingle: int = 5, similarity: int = 80, text: str = "text") -> DataFrame:
     """The documents with one of each group of near-duplicates, that of the least doc_id; columns as in ``docs``.
 
-    Of rows that share a doc_id, and a text that isn't empty, one stays. Documents
-    without words, and rows without doc_id, all stay.
+    Of rows that share a doc_id, and of which one has words, one stays: that with
+    the least text by code points, then by the other columns that have an order.
+    Documents without words, and rows without doc_id, all stay.
     """
     found = near_duplicates(docs, shingle, similarity, text)
     keep = found.where("kept and doc_id is not null").select(F.col("doc_id").alias("__id"), (F.col("n_shingles") > 0).alias("__full"))
     once = keep.groupBy("__id").agg(F.max("__full").alias("__full"), F.count(F.lit(1)).alias("__rows"))
     joined = docs.join(once, docs["doc_id"] == F.col("__id"))
     single = joined.where("__rows = 1 or not __full").select(*docs.columns)
-    several = joined.where("__rows > 1 and __full").dropDuplicates(["__id"]).select(*docs.columns)
+    # A text without words comes after all that have some.
+    none = F.size(F.filter(F.split(F.col(text), r"[\x20\x09-\x0D]+"), lambda w: w != "")) < 1
+    order = [F.coalesce(none, F.lit(True)), F.col(text), *[F.col(f"`{f.name}`") for f in docs.schema.fields if isinstance(f.dataType, T.AtomicType) and not isinstance(f.dataType, T.VariantType)]]
+    first = F.row_number().over(Window.partitionBy("__id").orderBy(*order))
+    several = joined.where("__rows > 1 and __full").withColumn("__first", first).where("__first = 1").select(*docs.columns)
     return single.unionByName(several).unionByName(docs.where("doc_id is null"))
 
 
