@@ -22,9 +22,10 @@ CHUNK, HOP = 512, 448
 WIDTH, STRIDE, EMBED, FILTERS = 8, 2, 6, 24
 PAD = 256
 #: Training takes at most so many labelled documents of each class, and so many chunks spread over each.
-SAMPLE, CHUNKS = 2000, 4
-STEPS, BATCH, RATE = 800, 32, 0.01
-#: This share of the good chunks is cut short in training, as short texts are rare there and look monotonous.
+SAMPLE, CHUNKS = 2000, 12
+#: A step sees so many documents, half of each class, and so many chunks of each, drawn anew.
+STEPS, BATCH, DRAWN, RATE = 800, 32, 4, 0.01
+#: This share of the chunks is cut short in training.
 SHORT = 0.3
 
 
@@ -101,11 +102,33 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(out / counts + self.offset, -500, 500)))
 
 
+def gradients(net: Network, offset: float, chunks: np.ndarray, labels: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+    """The mean cross entropy of documents, each of the same number of chunks in a row, and its gradient by every parameter."""
+    per = len(chunks) // len(labels)
+    win = net.windows(chunks)
+    out = (win.reshape(-1, WIDTH * EMBED) @ net.filters).reshape(len(chunks), -1, FILTERS)
+    at = out.argmax(axis=1)
+    top = np.take_along_axis(out, at[:, None], axis=1)[:, 0] + net.bias
+    pooled = np.maximum(top, 0)
+    logit = (pooled @ net.head).reshape(-1, per).mean(axis=1) + offset
+    loss = float(np.mean(np.logaddexp(0, logit) - labels * logit))
+    wrong = (1 / (1 + np.exp(-np.clip(logit, -50, 50))) - labels) / len(labels)
+    each = np.repeat(wrong / per, per).astype(out.dtype)
+    back = each[:, None] * net.head[None] * (top > 0)
+    best = win[np.arange(len(chunks))[:, None], at]  # (chunks, FILTERS, WIDTH * EMBED)
+    symbols = chunks[np.arange(len(chunks))[:, None, None], at[:, :, None] * STRIDE + np.arange(WIDTH)]
+    embed = np.zeros_like(net.embed)
+    np.add.at(embed, symbols.reshape(-1), (back[:, :, None] * net.filters.T[None]).reshape(-1, EMBED))
+    return loss, {"head": pooled.T @ each, "offset": np.array([wrong.sum()], out.dtype), "bias": back.sum(axis=0), "filters": np.einsum("nf,nfw->wf", back, best), "embed": embed}
+
+
 def train(samples: list[tuple[np.ndarray, int]], odds: float = 1.0, seed: int = 0) -> Network:
     """Fit by Adam on (chunks of a document, label); ``odds`` of label 1 to 0 among all labelled documents.
 
-    The sample may be balanced otherwise, so the last offset is moved by the
-    difference. Without documents of both classes every score is 1/2.
+    Each step draws documents of both classes alike and ``DRAWN`` chunks of each,
+    and cuts a share of the chunks short, of both classes alike, as short texts
+    are rare. The sample may be balanced otherwise, so the last offset is moved
+    by the difference. Without documents of both classes every score is 1/2.
     """
     net = Network.fresh(seed)
     labels = np.array([y for _, y in samples], np.float32)
@@ -113,29 +136,15 @@ def train(samples: list[tuple[np.ndarray, int]], odds: float = 1.0, seed: int =
         net.head[:] = 0
         return net
     rng = np.random.default_rng(seed + 1)
-    data = np.stack([c[np.arange(CHUNKS) % len(c)] for c, _ in samples])
     by_class = [np.nonzero(labels == k)[0] for k in (0, 1)]
     params = {"embed": net.embed, "filters": net.filters, "bias": net.bias, "head": net.head, "offset": np.zeros(1, np.float32)}
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in params.items()}
     for step in range(1, STEPS + 1):
         rows = np.concatenate([rng.choice(ix, BATCH // 2) for ix in by_class])
-        chunks = data[rows].reshape(-1, CHUNK)
-        cut = np.where((rng.random(len(chunks)) < SHORT) & np.repeat(labels[rows] == 1, CHUNKS), np.exp(rng.uniform(np.log(8), np.log(CHUNK), len(chunks))), CHUNK)
+        chunks = np.concatenate([samples[i][0][rng.permutation(max(DRAWN, len(samples[i][0])))[:DRAWN] % len(samples[i][0])] for i in rows])
+        cut = np.where(rng.random(len(chunks)) < SHORT, np.exp(rng.uniform(np.log(8), np.log(CHUNK), len(chunks))), CHUNK)
         chunks = np.where(np.arange(CHUNK) < cut[:, None], chunks, np.uint16(PAD))
-        win = net.windows(chunks)
-        out = (win.reshape(-1, WIDTH * EMBED) @ net.filters).reshape(len(chunks), -1, FILTERS)
-        at = out.argmax(axis=1)
-        top = np.take_along_axis(out, at[:, None], axis=1)[:, 0] + net.bias
-        pooled = np.maximum(top, 0)
-        logit = (pooled @ net.head).reshape(-1, CHUNKS).mean(axis=1) + params["offset"][0]
-        wrong = (1 / (1 + np.exp(-np.clip(logit, -50, 50))) - labels[rows]) / len(rows)
-        each = np.repeat(wrong / CHUNKS, CHUNKS).astype(np.float32)
-        back = each[:, None] * net.head[None] * (top > 0)
-        best = win[np.arange(len(chunks))[:, None], at]  # (chunks, FILTERS, WIDTH * EMBED)
-        symbols = chunks[np.arange(len(chunks))[:, None, None], at[:, :, None] * STRIDE + np.arange(WIDTH)]
-        to_embed = (back[:, :, None] * net.filters.T[None]).reshape(-1, EMBED)
-        grads = {"head": pooled.T @ each, "offset": np.array([wrong.sum()], np.float32), "bias": back.sum(axis=0), "filters": np.einsum("nf,nfw->wf", back, best), "embed": np.zeros_like(net.embed)}
-        np.add.at(grads["embed"], symbols.reshape(-1), to_embed)
+        _, grads = gradients(net, float(params["offset"][0]), chunks, labels[rows])
         rate = RATE * min(1.0, 2 * (1 - step / (STEPS + 1)))
         for k, p in params.items():
             m, v = moments[k]
@@ -148,11 +157,14 @@ def train(samples: list[tuple[np.ndarray, int]], odds: float = 1.0, seed: int =
     return net
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE, seed: int = 0, text: str = "text") -> Network:
-    """Train on at most ``sample`` documents of each class, the first by a hash of their ids.
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE, chunks: int = CHUNKS, seed: int = 0, text: str = "text") -> Network:
+    """Train on at most ``sample`` documents of each class, the first by a hash of their ids, and ``chunks`` chunks of each.
 
-    ``labels`` has doc_id and the label, and only rows that may be learned from.
-    Rows with a null are left out.
+    The chunks are spread evenly over a longer text; these two bounds are what
+    the driver holds. ``labels`` has doc_id and the label, and only rows that may
+    be learned from. Rows with a null or another label are left out; null texts
+    are empty; a repeated id counts as often as it is there. Without labels of
+    both classes every score is 1/2.
     """
     small_batches(docs.sparkSession)
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("int").alias("__y"))
@@ -162,18 +174,28 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            chunks = []
+            found, sizes = [], []
             for t in batch.column("text").to_pylist():
                 data = t.encode("utf-8", "surrogatepass")
                 starts = chunk_starts(len(data))
-                starts = np.unique(starts[np.linspace(0, len(starts) - 1, CHUNKS).round().astype(int)])
-                chunks.append(chunked(data, starts).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("__y"), pa.array(chunks, pa.binary())], names=["doc_id", "y", "chunks"])
+                starts = np.unique(starts[np.linspace(0, len(starts) - 1, chunks).round().astype(int)])
+                parts = [data[a : a + CHUNK] for a in starts.tolist()]
+                found.append(b"".join(parts))
+                sizes.append([len(p) for p in parts])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("__y"), pa.array(found, pa.binary()), pa.array(sizes, pa.list_(pa.int32()))], names=["doc_id", "y", "chunks", "sizes"])
 
     # At most two samples of ids, a bound that doesn't grow with the data.
     rows = docs.select("doc_id", text_or_empty(text).alias("text")).join(F.broadcast(chosen), "doc_id")
-    got = rows.mapInArrow(spread, "doc_id long, y int, chunks binary").toPandas().sort_values(["doc_id", "y", "chunks"])
-    samples = [(np.frombuffer(c, np.uint16).reshape(-1, CHUNK), int(y)) for c, y in zip(got["chunks"], got["y"], strict=True)]
+    got = rows.mapInArrow(spread, "doc_id long, y int, chunks binary, sizes array<int>").toPandas().sort_values(["doc_id", "y", "chunks"])
+
+    def stacked(data: bytes, sizes: list[int]) -> np.ndarray:
+        out, at = np.full((len(sizes), CHUNK), PAD, np.uint16), 0
+        for row, size in zip(out, sizes, strict=True):
+            row[:size] = np.frombuffer(data, np.uint8, size, at)
+            at += size
+        return out
+
+    samples = [(stacked(c, z), int(y)) for c, z, y in zip(got["chunks"], got["sizes"], got["y"], strict=True)]
     return train(samples, n.get(1, 0) / n[0] if n.get(0) else 1.0, seed)
 
 

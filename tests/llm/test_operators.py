@@ -237,9 +237,78 @@ def test_token_files_round_trip(spark, sf_dir):
 
 
 def test_quality_model_on_held_out(spark):
+    """On documents it has not learned from: all, and short ones of both classes."""
     sf_dir = "/root/testdata/sf0.01"
-    found = queries.op8_quality_model(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id").where("held_out").toPandas()
-    assert (found.predicted == found.quality).mean() > 0.9
+    docs = table(spark, sf_dir, "documents")
+    net = quality_model.fit(docs, table(spark, sf_dir, "labels").where(~quality_model.held_out()))
+    found = quality_model.score(docs, net).join(table(spark, sf_dir, "labels"), "doc_id").where(quality_model.held_out()).toPandas()
+    right = found.predicted == found.quality
+    assert right.mean() > 0.95 and all(right[found.quality == k].mean() > 0.85 for k in (0, 1))
+    same = queries.op8_quality_model(spark, sf_dir).where("held_out").join(table(spark, sf_dir, "labels"), "doc_id").toPandas()
+    assert dict(zip(same.doc_id, same.score, strict=True)) == dict(zip(found.doc_id, found.score, strict=True))
+
+
+def _loops(net, offset, chunks):
+    """The network's evidence by plain loops."""
+    out = []
+    for chunk in chunks:
+        best = []
+        for f in range(quality_model.FILTERS):
+            tops = []
+            for at in range(0, quality_model.CHUNK - quality_model.WIDTH + 1, quality_model.STRIDE):
+                total = 0.0
+                for j in range(quality_model.WIDTH):
+                    for e in range(quality_model.EMBED):
+                        total += float(net.embed[chunk[at + j], e]) * float(net.filters[j * quality_model.EMBED + e, f])
+                tops.append(total)
+            best.append(max(0.0, max(tops) + float(net.bias[f])))
+        out.append(sum(b * float(h) for b, h in zip(best, net.head, strict=True)))
+    return np.array(out)
+
+
+def _as_doubles(net):
+    return quality_model.Network(*(x.astype(np.float64) for x in (net.embed, net.filters, net.bias, net.head)), net.offset)
+
+
+def test_forward_pass_by_plain_loops():
+    net = _as_doubles(quality_model.Network.fresh(3))
+    net.bias += 0.05
+    net.offset = 0.3
+    texts = ["", "a", "short text, é", "x" * 511, "The quick brown fox. " * 40, "".join(chr(33 + i * 7 % 90) for i in range(1500))]
+    for text, got in zip(texts, net.probability(texts), strict=True):
+        data = text.encode()
+        starts = quality_model.chunk_starts(len(data))
+        assert all(any(a <= i < a + quality_model.CHUNK for a in starts) for i in range(len(data)))
+        value = _loops(net, 0, quality_model.chunked(data, starts)).mean() + net.offset
+        assert abs(got - 1 / (1 + np.exp(-value))) < 1e-9
+
+
+def test_gradient_by_differences():
+    net = _as_doubles(quality_model.Network.fresh(4))
+    rng = np.random.default_rng(0)
+    chunks, labels = rng.integers(0, 257, (6, quality_model.CHUNK)).astype(np.uint16), np.array([0.0, 1.0, 1.0])
+    _, found = quality_model.gradients(net, 0.2, chunks, labels)
+    for name in ("embed", "filters", "bias", "head"):
+        values = getattr(net, name)
+        for at in [tuple(rng.integers(0, n) for n in values.shape) for _ in range(25)]:
+            kept, losses = values[at], []
+            for step in (1e-6, -1e-6):
+                values[at] = kept + step
+                losses.append(quality_model.gradients(net, 0.2, chunks, labels)[0])
+            values[at] = kept
+            assert abs((losses[0] - losses[1]) / 2e-6 - found[name][at]) < 1e-6, (name, at)
+    up, down = (quality_model.gradients(net, 0.2 + d, chunks, labels)[0] for d in (1e-6, -1e-6))
+    assert abs((up - down) / 2e-6 - found["offset"][0]) < 1e-6
+
+
+def test_fit_on_odd_input(spark):
+    docs = odd(spark)
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    some = spark.createDataFrame([(1, 1), (6, 0), (8, 0), (3, 1), (None, 1), (4, None), (5, 7), (99, 0)], "doc_id long, quality int")
+    for labels in (none, some.where("quality = 1")):
+        assert {r.score for r in quality_model.score(docs, quality_model.fit(docs, labels)).collect()} == {0.5}
+    assert quality_model.score(docs, quality_model.fit(docs, some)).count() == 11
+    assert quality_model.fit(odd(spark, empty=True), some).probability(["x"])[0] == 0.5
 
 
 def test_layouts(spark):
@@ -266,6 +335,31 @@ def test_layouts_with_further_fields(spark):
     assert [tuple(t) for t in got[0].turns] == [("assistant", "c")] and got[1].turns is None
 
 
+def test_common_variants_of_layouts(spark):
+    """Names beside turns, empty lists and null texts are no reason to have no layout."""
+    rows = {
+        '{"messages":[{"role":"user","content":"q","name":"Jo"},{"role":"assistant","content":null}],"id":4}': [("user", "q"), ("assistant", "")],
+        '{"messages":[]}': [], '{"id":1,"conversations":[],"source":"s"}': [], '{"turns":[{"speaker":"bot","text":"t","id":3,"timestamp":"n"}]}': [("assistant", "t")],
+        '{"messages":[{"role":"system","content":""},{"role":"user","content":"u","weight":0}]}': [("system", ""), ("user", "u")],
+        '{"messages":[],"other":1}': None, '{"messages":null}': None, '{"messages":[{"role":"user","content":"q","other":1}]}': None,
+    }
+    got = chat_format.canonical_turns(spark.createDataFrame([(r,) for r in rows], "record string")).collect()
+    assert {r.record: None if r.turns is None else [tuple(t) for t in r.turns] for r in got} == rows
+
+
+def test_chat_on_odd_tables(spark):
+    """Empty tables, names that clash with what is added, repeated rows and null ids."""
+    clash = spark.createDataFrame([('{"prompt":"q","completion":"a"}', 1, "mine", "x", "y"), (None, 2, "mine", "x", "y")], "record string, fingerprint int, layout string, turns string, formatted string")
+    got = chat_format.format_turns(chat_format.canonical_turns(clash)).collect()
+    assert got[0].layout == "prompt" and got[0].formatted.endswith("assistant\na<|im_end|>\n") and got[1].turns is None is got[1].formatted
+    assert chat_format.format_turns(chat_format.canonical_turns(clash.limit(0))).count() == 0
+    rows = spark.createDataFrame([(1, 0, "user", "x", 7, "z"), (1, 0, "user", "x", 7, "z"), (None, None, None, None, None, None)], "conv_id long, turn long, role string, text string, n int, piece string")
+    found = {r.conv_id: r.formatted for r in chat_format.format_rows(rows).collect()}
+    assert found == {1: "<|im_start|>user\nx<|im_end|>\n" * 2, None: "<|im_start|>\n<|im_end|>\n"}
+    assert chat_format.format_rows(rows.limit(0)).count() == 0
+    assert [r.conv_id for r in chat_format.format_digest(rows.limit(0)).collect()] == [-1]
+
+
 def test_digest_goes_through_all_layouts(spark, monkeypatch):
     rows = [(c, t, r, f"{c} {t}") for c in range(60) for t, r in enumerate(("user", "assistant"))] + [(100, t, "user", "x" * (t % 7)) for t in range(600)] + [(101, 0, "Human", "a"), (101, 1, "gpt", None), (None, None, None, None)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
