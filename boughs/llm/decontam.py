@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from .common import small_batches, text_or_empty
 
 WINDOW = 8
-#: Items are put into automata of at most so many words (one item at least), which is what a broadcast may hold.
-MOST_WORDS = 1_000_000
+#: Automata are of at most so many words, some 10 MB of arrays in each Python worker; longer items come in parts that overlap.
+MOST_WORDS = 250_000
 #: Lower-cased bytes that belong to no word.
 _BLANK = bytes(range(0x30)) + bytes(range(0x3A, 0x61)) + bytes(range(0x7B, 0x80))
 _TO_BLANK = bytes.maketrans(_BLANK, b" " * len(_BLANK))
@@ -34,37 +34,17 @@ def normalised(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().translate(_TO_BLANK).split()
 
 
-class Automaton:
-    """Suffix automaton over word numbers; unknown words are 0 and lead to the root."""
+class _Builder:
+    """The states of a suffix automaton over word numbers, built up an item at a time."""
 
-    def __init__(self, items: Iterable[tuple[str | None, list[bytes]]], window: int = WINDOW):
-        self.window = window
-        self.vocab: dict[bytes, int] = {}
+    def __init__(self):
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
-        held, pairs, need = [], [np.zeros(0, np.int64)], window
-        for name, words in items:
-            if words:
-                held.append((name, [self.vocab.setdefault(w, len(self.vocab) + 1) for w in words]))
-                need = min(need, len(words))
-        for _, ids in held:
-            last = 0
-            for c in ids:
-                last = self._extend(last, c)
-        #: Items that have a window, or end as a short item, at a state; and the items' lengths there.
-        self.items: list[dict[str | None, int]] = [{} for _ in self.length]
-        for name, ids in held:
-            state = 0
-            for i, c in enumerate(ids):
-                state = self.next[state][c]
-                if i + 1 >= window:
-                    self.items[self._at(state, window)][name] = window
-            if len(ids) < window:
-                self.items[state][name] = len(ids)
-            pairs.append(self._pair(np.array(ids[:-1], np.int64), np.array(ids[1:], np.int64)))
-        self.need = need
-        self.known = np.zeros(1 << _SLOTS, bool)
-        self.known[self._slot(np.concatenate(pairs))] = True
+
+    def add(self, ids: list[int]) -> None:
+        last = 0
+        for c in ids:
+            last = self._extend(last, c)
 
     def _extend(self, last: int, c: int) -> int:
         nxt, link, length = self.next, self.link, self.length
@@ -96,14 +76,74 @@ class Automaton:
             p = link[p]
         return new
 
-    def _at(self, state: int, n: int) -> int:
-        """The state of the last n words, of those at ``state``."""
-        while self.length[self.link[state]] >= n:
-            state = self.link[state]
+
+class Automaton:
+    """Suffix automaton over word numbers, as flat arrays; unknown words are 0 and lead to the root.
+
+    ``keys`` are the sorted transitions (state, word), ``targets`` where they lead.
+    ``whole`` is for each state that of its last ``window`` words. ``found`` lists
+    items by state: a state's are those at ``edges[state]`` up to the next. Those
+    shorter than a window are found along ``short``, which leads from a state to
+    the next suffix that is such an item.
+    """
+
+    def __init__(self, items: Iterable[tuple[str | None, list[bytes]]], window: int = WINDOW):
+        self.window = window
+        self.vocab: dict[bytes, int] = {}
+        held, self.need = [], window
+        for name, words in items:
+            if words:
+                held.append((name, [self.vocab.setdefault(w, len(self.vocab) + 1) for w in words]))
+                self.need = min(self.need, len(words))
+        made = _Builder()
+        for _, ids in held:
+            made.add(ids)
+        self.size = len(self.vocab) + 1
+        self.link, self.length = np.array(made.link, np.int32), np.array(made.length, np.int32)
+        keys = np.array([state * self.size + c for state, out in enumerate(made.next) for c in sorted(out)], np.int64)
+        targets = np.array([out[c] for out in made.next for c in sorted(out)], np.int32)
+        self.keys, self.targets = keys, targets
+        # A suffix link leads to a shorter state, so all are settled in the order of their lengths.
+        order = np.argsort(self.length, kind="stable").tolist()
+        link, length = made.link, made.length
+        whole = list(range(len(length)))
+        for s in order[1:]:
+            if length[link[s]] >= window:
+                whole[s] = whole[link[s]]
+        self.whole = np.array(whole, np.int32)
+        self.names = list(dict.fromkeys(name for name, _ in held))
+        number = {name: i for i, name in enumerate(self.names)}
+        ends, pairs = set(), [np.zeros(0, np.int64)]
+        for name, ids in held:
+            state = 0
+            for i, c in enumerate(ids):
+                state = made.next[state][c]
+                if i + 1 >= window:
+                    ends.add((whole[state], number[name]))
+            if len(ids) < window:
+                # Short items of one state have one length, as they are the same words.
+                ends.add((state, number[name]))
+            pairs.append(self._pair(np.array(ids[:-1], np.int64), np.array(ids[1:], np.int64)))
+        at = np.array(sorted(ends), np.int64).reshape(-1, 2)
+        self.edges, self.found = np.searchsorted(at[:, 0], np.arange(len(length) + 1)).astype(np.int32), at[:, 1].astype(np.int32)
+        brief = {state for name, ids in held if len(ids) < window for state in [self._end(made, ids)]}
+        short = [0] * len(length)
+        for s in order[1:]:
+            short[s] = link[s] if link[s] in brief else short[link[s]]
+        self.brief = np.array([s in brief for s in range(len(length))], bool)
+        self.short = np.array(short, np.int32)
+        self.known = np.zeros(1 << _SLOTS, bool)
+        self.known[self._slot(np.concatenate(pairs))] = True
+
+    @staticmethod
+    def _end(made: _Builder, ids: list[int]) -> int:
+        state = 0
+        for c in ids:
+            state = made.next[state][c]
         return state
 
     def _pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return a * (len(self.vocab) + 1) + b
+        return a * self.size + b
 
     def _slot(self, pair: np.ndarray) -> np.ndarray:
         return (pair.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SLOTS)
@@ -121,43 +161,57 @@ class Automaton:
         long = stops - starts >= least
         return list(zip(starts[long].tolist(), (stops[long] + extra).tolist(), strict=True))
 
-    def walk(self, ids: list[int], base: int) -> Iterator[tuple[int, int, dict[str | None, int]]]:
+    def _step(self, state: int, c: int) -> int:
+        """Where a word leads, or -1."""
+        key = state * self.size + c
+        at = int(self.keys.searchsorted(key))
+        return int(self.targets[at]) if at < len(self.keys) and self.keys[at] == key else -1
+
+    def walk(self, ids: list[int], base: int) -> Iterator[tuple[int, int, list[int]]]:
         """(first, last + 1, items) of the words of each match, from word ``base`` on."""
-        nxt, link, length, items, window = self.next, self.link, self.length, self.items, self.window
         state = n = 0
         for i, c in enumerate(ids, base + 1):
-            while state and c not in nxt[state]:
-                state = link[state]
-                n = length[state]
-            if c in nxt[state]:
-                state = nxt[state][c]
-                n += 1
-            s = state
-            if n >= window:
-                s = self._at(state, window)
-                if items[s]:
-                    long = {k: v for k, v in items[s].items() if v == window}
-                    yield i - n, i, long
-            while s > 0:
-                for k, v in items[s].items():
-                    if v < window and v <= n:
-                        yield i - v, i, {k: v}
-                s = link[s]
-
-
-def automata(benchmark: DataFrame, window: int = WINDOW, most_words: int = MOST_WORDS) -> list[Automaton]:
-    """Automata over all items, each over at most ``most_words`` words. Items stream to the driver, a part at a time."""
-    made, part, n = [], [], 0
+            to = self._step(state, c)
+            while to < 0 and state:
+                state = int(self.link[state])
+                n = int(self.length[state])
+                to = self._step(state, c)
+            if to >= 0:
+                state, n = to, n + 1
+            if n >= self.window:
+                s = int(self.whole[state])
+                if hit := self._items(s):
+                    yield i - n, i, hit
+            # A state stands for suffixes of several lengths; a short item is its longest, as it starts its text.
+            s = state if self.brief[state] and n >= self.length[state] else int(self.short[state])
+            while s:
+                yield i - int(self.length[s]), i, self._items(s)
+                s = int(self.short[s])
+
+    def _items(self, state: int) -> list[int]:
+        return self.found[self.edges[state] : self.edges[state + 1]].tolist()
+
+
+def _pieces(words: list[bytes], most: int, window: int) -> Iterator[list[bytes]]:
+    """An item's words in parts of at most ``most``, which overlap by half, so every window lies whole in one."""
+    step = max(1, min(most // 2, most - window + 1))
+    for a in range(0, max(1, len(words) - most + step), step):
+        yield words[a : a + most]
+
+
+def automata(benchmark: DataFrame, window: int = WINDOW, most_words: int = MOST_WORDS) -> Iterator[Automaton]:
+    """Automata over all items, one after the other, each over at most ``most_words`` words. Items stream to the driver, a part at a time."""
+    most = max(most_words, window)
+    part, n, made = [], 0, False
     for r in benchmark.select(F.col("item_id").cast("string").alias("k"), F.col("text").alias("t")).toLocalIterator():
-        words = normalised(r["t"])
-        if part and n + len(words) > most_words:
-            made.append(Automaton(part, window))
-            part, n = [], 0
-        part.append((r["k"], words))
-        n += len(words)
+        for words in _pieces(normalised(r["t"]), most, window):
+            if part and n + len(words) > most:
+                yield Automaton(part, window)
+                part, n, made = [], 0, True
+            part.append((r["k"], words))
+            n += len(words)
     if part or not made:
-        made.append(Automaton(part, window))
-    return made
+        yield Automaton(part, window)
 
 
 def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -182,7 +236,7 @@ def find(automaton: Automaton, words: list[bytes]) -> tuple[list[tuple[int, int]
             else:
                 spans.append((first, last))
             items.update(hit)
-    return _merge(spans), items, longest
+    return _merge(spans), {automaton.names[i] for i in items}, longest
 
 
 _FOUND = pa.schema([("n_words", pa.int64()), ("spans", pa.list_(pa.list_(pa.int64()))), ("items", pa.list_(pa.string())), ("longest", pa.int64())])
@@ -191,8 +245,9 @@ _FOUND = pa.schema([("n_words", pa.int64()), ("spans", pa.list_(pa.list_(pa.int6
 def matches(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, text: str = "text", window: int = WINDOW, most_words: int = MOST_WORDS) -> DataFrame:
     """Add n_words, hit_spans (merged [first, last + 1) word ranges), hit_items (sorted) and longest_match to ``keep``.
 
-    Every item counts, whatever their number: what one automaton can't hold goes
-    to a further pass. Null texts and items have no words and match nothing;
+    Every item counts, whatever their number and length: what one automaton can't
+    hold goes to a further pass. (A match over half of ``most_words`` words counts
+    with the words it has in one part for longest_match.) Null texts and items have no words and match nothing;
     items without id count as one, which is a null at the end of hit_items. Input columns with the added names are
     replaced.
     """
@@ -201,11 +256,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None
     added = ["n_words", "hit_spans", "hit_items", "longest_match"]
     keep = [c for c in (docs.columns if keep is None else keep) if c not in added]
     df = docs.select(*keep, text_or_empty(text).alias("__text"))
-    made = automata(benchmark, window, most_words)
-    for turn, automaton in enumerate(made):
+    for turn, automaton in enumerate(automata(benchmark, window, most_words)):
         shared = spark.sparkContext.broadcast(automaton)
+        del automaton  # the driver holds one at a time
         base = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name not in added)
-        final = turn + 1 == len(made)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, turn=turn) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -220,8 +274,6 @@ def matches(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None
                 yield pa.RecordBatch.from_arrays([batch.column(n) for n in old] + new, names=old + added)
 
         df = df.mapInArrow(run, base + ", n_words long, hit_spans array<array<long>>, hit_items array<string>, longest_match long")
-        if final:
-            break
     return df if "__text" in keep else df.drop("__text")
 
 

@@ -394,6 +394,38 @@ def test_automaton_parts_give_the_same(spark, sf_dir):
     assert one == many
 
 
+def test_automaton_by_brute_force():
+    """Small vocabularies, so that items overlap, repeat and are parts of each other."""
+    rng = np.random.default_rng(11)
+    for _ in range(300):
+        size, window = rng.choice([1, 2, 3, 6]), int(rng.choice([2, 3, 4, 8]))
+        items = [(str(rng.choice(["a", "b", "c"])), [b"%d" % w for w in rng.integers(0, size, rng.integers(0, 14))]) for _ in range(rng.integers(1, 6))]
+        words = [b"%d" % w for w in rng.integers(0, size + 1, rng.integers(0, 40))]
+        hit, names = set(), set()
+        for name, item in items:
+            n = min(window, len(item))
+            grams = {tuple(item[i : i + n]) for i in range(len(item) - n + 1)} if item else set()
+            at = [i for i in range(len(words) - n + 1) if tuple(words[i : i + n]) in grams]
+            hit |= {i + k for i in at for k in range(n)}
+            names |= {name} if at else set()
+        for most in (10**6, 9):
+            spans, found = set(), set()
+            pieces = [(name, p) for name, item in items for p in decontam._pieces(item, max(most, window), window)]
+            got = decontam.find(decontam.Automaton(pieces, window), words)
+            spans = {i for a, b in got[0] for i in range(a, b)}
+            assert (spans, got[1]) == (hit, names)
+
+
+def test_decontamination_with_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f g h i j", 7, "x"), (2, None, 8, "y")], "doc_id long, text string, n_words int, hit_spans string")
+    bench = spark.createDataFrame([("i", "b c d e f g h i")], "item_id string, text string")
+    got = {r.doc_id: r for r in decontam.matches(docs, bench).collect()}
+    assert (got[1].n_words, got[1].hit_spans, got[1].hit_items, got[2].n_words) == (10, [[1, 9]], ["i"], 0)
+    clean = decontam.decontaminate(docs, bench, max_coverage=0.9)
+    assert clean.columns == docs.columns and {r.doc_id: (r.text, r.n_words, r.hit_spans) for r in clean.collect()} == {1: ("a  j", 7, "x"), 2: (None, 8, "y")}
+    assert [r.doc_id for r in decontam.decontaminate(docs, bench).collect()] == [2] and decontam.matches(docs, bench.limit(0)).count() == 2
+
+
 def test_items_without_id_are_hit(spark, tmp_path):
     clean, leak = "one two three four five six seven eight nine ten eleven twelve", "p1 p2 p3 p4 p5 p6 p7 p8 p9"
     docs = spark.createDataFrame([(1, f"{clean} {leak}"), (2, clean), (3, f"{clean} q1 q2 q3, s1 s2 {clean}"), (4, f"i1 i2 i3 {leak} {clean} {clean}"), (5, None)], "doc_id long, text string")
