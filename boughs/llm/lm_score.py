@@ -197,7 +197,7 @@ def _answer(order: int, pairs: tuple[np.ndarray, np.ndarray]):
             # How many words of this bucket were learned.
             blocks, asked = [*blocks, -1], [*asked, None]
         else:
-            values = log10_probability(keys, build(keys, counts, order, pairs), order).astype(np.float32)
+            values = log10_probability(keys, build(keys, counts, order, pairs), order)
         answers = [packed(values[np.searchsorted(keys, a)]) if a is not None else np.array([(counts > 0).sum()], np.int64).tobytes() for a in asked]
         m = len(blocks)
         return pa.table({"kind": pa.array([kind] * m, pa.int32()), "bucket": pa.array([bucket] * m, pa.int32()), "block": pa.array(blocks, pa.int32()), "answers": pa.array(answers, pa.binary())})
@@ -230,7 +230,7 @@ def _score(order: int, buckets: int, n_train: int, n_train_docs: int, vocabulary
         known = np.bincount(owner, (counts > 0)[place].astype(np.float64), n) + (n_train_docs > 0)
         slices = list(block.grams())
         every = np.unique(np.concatenate([s[0] for s in slices]))
-        lengths = filled(every, GRAMS, np.float32).astype(np.float64)
+        lengths = filled(every, GRAMS, np.float64)
         score = np.zeros(n)
         for distinct, place, doc in slices:
             score += np.bincount(doc, lengths[np.searchsorted(every, distinct)][place], n)
@@ -336,7 +336,11 @@ class Adaptive:
 
 
 def score_adaptive(docs: DataFrame, order: int = ORDER, text: str = "text") -> DataFrame:
-    """(doc_id, score): each text's log10 code length under a model of its own that learns as it goes."""
+    """(doc_id, score): each text's log10 code length under a model of its own that learns as it goes.
+
+    Null texts are empty: their end alone is coded, as one of 257 symbols. A very
+    long text is coded whole; its model is held by the one task that codes it.
+    """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
