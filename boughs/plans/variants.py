@@ -9,7 +9,7 @@ may depend on what came before it.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+import re
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -20,8 +20,8 @@ from boughs.operators.order import POS
 from boughs.operators.records import DOC
 from boughs.session import ship_code
 
-from .schema import Schema, decode, encode, infer_schema
-from .types import FunctionType, ThunkFunctionType
+from .schema import Branch, Leaf, Schema, decode, encode, infer_schema
+from .types import FunctionType, ListType, NullType, PrimitiveType, ThunkFunctionType
 
 
 @dataclass
@@ -39,22 +39,63 @@ class Catalog:
         return shapes(df).join(table, "shape").select(POS, "schema_id")
 
 
-def shapes(df: DataFrame) -> DataFrame:
-    """(position, shape): each record's schema as canonical JSON."""
-    ship_code(df.sparkSession)
-    kind = df.schema[POS].dataType.simpleString()
+#: A VARIANT's type doesn't tell whether some items of a list are null or lack a field, nor 1.0 from an integer beyond 64 bits.
+_UNCLEAR = r"VARIANT|ARRAY<(?!VOID>)|DECIMAL\(\d+,0\)"
+_NATIVE = "OBJECT<"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for text in batch.column(DOC).to_pylist():
-                value = json.loads(text)
-                if not isinstance(value, dict):
-                    raise ValueError("records have to be dicts")
-                found.append(encode(infer_schema(value)))
-            yield pa.RecordBatch.from_arrays([batch.column(POS), pa.array(found, pa.string())], names=[POS, "shape"])
 
-    return df.select(POS, DOC).mapInArrow(run, f"{POS} {kind}, shape string")
+def shapes(df: DataFrame) -> DataFrame:
+    """(position, shape): each record's schema as a code, which shape_of reads.
+
+    The code is the record's VARIANT type, found in the JVM, where that tells all;
+    the codes of other records, such as those that have lists with items, are made in Python.
+    """
+    ship_code(df.sparkSession)
+    kind = F.schema_of_variant(F.try_parse_json(DOC))
+    plain = kind.startswith(_NATIVE) & ~F.rlike(kind, F.lit(_UNCLEAR))
+    # JSON's decimals are one kind.
+    kind = F.regexp_replace(kind, r"DECIMAL\(\d+,\d+\)|FLOAT", "DOUBLE")
+
+    @F.arrow_udf("string")
+    def coded(docs: pa.Array) -> pa.Array:
+        return pa.array([None if d is None else _coded(json.loads(d)) for d in docs.to_pylist()], pa.string())
+
+    found = df.select(POS, DOC, F.coalesce(plain, F.lit(False)).alias("__plain"), kind.alias("__kind"))
+    shape = F.when(F.col("__plain"), F.col("__kind")).otherwise(coded(F.when(~F.col("__plain"), F.col(DOC))))
+    return found.select(POS, shape.alias("shape"))
+
+
+def _coded(value: object) -> str:
+    if not isinstance(value, dict):
+        raise ValueError("records have to be dicts")
+    return encode(infer_schema(value))
+
+
+_TOKEN = re.compile(r"`(?P<quoted>(?:[^`]|``)*)`: |(?P<plain>\w+): |(?P<begins>OBJECT<)|(?P<ends>>)|, |(?P<kind>ARRAY<VOID>|[A-Z_]+)")
+_SCALARS = {"BIGINT": int, "DOUBLE": float, "STRING": str, "BOOLEAN": bool}
+
+
+def shape_of(code: str) -> Schema:
+    """The schema that a code stands for."""
+    if not code.startswith(_NATIVE):
+        return decode(code)
+    open_, name = [], None
+    for token in _TOKEN.finditer(code):
+        found, text = token.lastgroup, token[0]
+        if found == "quoted":
+            name = token["quoted"].replace("``", "`")
+        elif found == "plain":
+            name = token["plain"]
+        elif found == "begins":
+            open_.append((name, Branch() if open_ else Schema()))
+        elif found == "ends":
+            name, node = open_.pop()
+            if not open_:
+                return node
+            open_[-1][1][name] = node
+        elif found == "kind":
+            open_[-1][1][name] = Leaf(ListType(NullType()) if text == "ARRAY<VOID>" else NullType() if text == "VOID" else PrimitiveType(_SCALARS[text]))
+    raise ValueError(f"no shape: {code}")
 
 
 def fold(catalog: dict[int, Schema], shape: Schema) -> tuple[int, bool]:
@@ -78,7 +119,7 @@ def build(df: DataFrame, exact: bool = False) -> Catalog:
         settled: dict[str, tuple[int, int, bool]] = {}
         version = 0
         for row in found.orderBy(POS).select("shape").toLocalIterator():
-            shape = known.setdefault(row[0], decode(row[0]))
+            shape = known.setdefault(row[0], shape_of(row[0]))
             if settled.get(row[0], (0, -1, False))[1] != version:
                 before = {i: encode(s) for i, s in catalog.items()}
                 i, several = fold(catalog, shape)
@@ -93,7 +134,7 @@ def build(df: DataFrame, exact: bool = False) -> Catalog:
         rows = found.groupBy("shape").agg(F.min(POS).alias("first"), F.count(F.lit(1)).alias("n")).orderBy("first")
         order = []
         for row in rows.toLocalIterator():
-            shape = decode(row["shape"])
+            shape = shape_of(row["shape"])
             _, several = fold(catalog, shape)
             order.append((row["shape"], shape))
             if several:
@@ -101,7 +142,7 @@ def build(df: DataFrame, exact: bool = False) -> Catalog:
         # Shapes are numbered by the finished variants, whatever they were when the shape came.
         for code, shape in order:
             ids[code] = next(i for i, s in catalog.items() if s == shape)
-    return Catalog(catalog, ids, [(str(decode(c)), n) for c, n in overlaps.items()])
+    return Catalog(catalog, ids, [(str(shape_of(c)), n) for c, n in overlaps.items()])
 
 
 def fits(record: object, shape: dict) -> bool:

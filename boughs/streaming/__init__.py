@@ -98,9 +98,9 @@ class SchemaLog:
     def update(self, batch: DataFrame, number: int = 0) -> None:
         rows = variants.shapes(batch).groupBy("shape").agg(F.min(POS).alias("first")).orderBy("first").select("shape")
         for row in rows.toLocalIterator():
-            _, several = variants.fold(self.schemas, decode(row[0]))
+            _, several = variants.fold(self.schemas, variants.shape_of(row[0]))
             if several and self.warn:
-                self.warn(f"batch {number}: a shape fits several schemas: {decode(row[0])}")
+                self.warn(f"batch {number}: a shape fits several schemas: {variants.shape_of(row[0])}")
 
     def dump(self) -> str:
         return json.dumps([encode(s) for s in self.schemas.values()])
