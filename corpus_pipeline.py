@@ -49,13 +49,15 @@ STAGES = [
     ("shard", shard),
 ]
 
-#: The classifier's verdicts can't be expressed in SQL; tests/llm/test_pipeline.py has a brute-force version.
+#: The classifier's verdicts can't be expressed in SQL; tests/llm/test_pipeline.py has a brute-force version of each stage and of run().
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    stash = Stash(spark, "pipeline")
+    stash, before = Stash(spark, "pipeline"), []
     for name, stage in STAGES[:-1]:
         docs = stash.keep(stage(spark, docs, sf_dir), name)
+        stash.drop(*before)
+        before = [name]
     return STAGES[-1][1](spark, docs, sf_dir)
