@@ -55,3 +55,15 @@ def unpacked(raw: bytes, dtype, ascending: bool = False) -> np.ndarray:
     planes = np.frombuffer(pa.decompress(memoryview(raw)[8:], n * size, codec="zstd", asbytes=True), np.uint8)
     values = np.ascontiguousarray(planes.reshape(size, n).T).reshape(-1).view(dtype)
     return np.cumsum(values, dtype=dtype) if ascending else values
+
+
+def coded(values: np.ndarray) -> bytes:
+    """Doubles of which many are equal: the distinct ones, and each one's place among them."""
+    distinct, place = np.unique(values, return_inverse=True)
+    head = packed(distinct)
+    return len(head).to_bytes(8, "little") + head + packed(place.astype(np.int32))
+
+
+def decoded(raw: bytes) -> np.ndarray:
+    size = 8 + int.from_bytes(raw[:8], "little")
+    return unpacked(raw[8:size], np.float64)[unpacked(raw[size:], np.int32)]

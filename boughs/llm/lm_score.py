@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Stash, blocks_for, small_batches
-from .exchange import packed, sorted_lookup, summed, unpacked, with_blocks
+from .exchange import coded, decoded, packed, sorted_lookup, summed, unpacked, with_blocks
 from .hashing import U, WordHashes, mix
 
 ORDER = 5
@@ -31,9 +31,9 @@ EDGE = 256
 SYMBOLS = 257
 BITS = 9
 #: Positions that are sorted at once.
-SLICE = 1 << 19
+SLICE = 1 << 18
 WORDS, GRAMS, PAIRS, TOTALS = 0, 1, 2, 3
-BUCKETS = 64
+BUCKETS = 256
 
 
 def normalised(text: str) -> bytes:
@@ -59,15 +59,24 @@ class Block:
     def grams(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """In slices: the distinct (context, symbol) keys, each place's index among them, each place's document."""
         n = self.order + 1
-        for a in range(0, self.total, SLICE):
-            b = min(self.total, a + SLICE)
-            doc = np.searchsorted(self.first, np.arange(a, b), side="right") - 1
-            inside = np.arange(a, b) - self.first[doc] <= self.sizes[doc]
+        for a, b, doc, inside in self._places():
             key = np.zeros(b - a, U)
             for j in range(n):
                 key = (key << U(BITS)) | self.symbols[a + j : b + j]
             distinct, place = np.unique(key[inside], return_inverse=True)
-            yield distinct, place.astype(np.int32), doc[inside].astype(np.int32)
+            yield distinct, place.astype(np.int32), doc[inside]
+
+    def _places(self) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """In slices: first and last + 1 place, the document of each, and whether it is within its text and end."""
+        for a in range(0, self.total, SLICE):
+            b = min(self.total, a + SLICE)
+            doc = (np.searchsorted(self.first, np.arange(a, b), side="right") - 1).astype(np.int32)
+            yield a, b, doc, np.arange(a, b) - self.first[doc] <= self.sizes[doc]
+
+    def owners(self) -> Iterator[np.ndarray]:
+        """The documents of the places that grams() gives, in the same slices."""
+        for _, _, doc, inside in self._places():
+            yield doc[inside]
 
 
 def _gram_bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -198,7 +207,8 @@ def _answer(order: int, pairs: tuple[np.ndarray, np.ndarray]):
             blocks, asked = [*blocks, -1], [*asked, None]
         else:
             values = log10_probability(keys, build(keys, counts, order, pairs), order)
-        answers = [packed(values[np.searchsorted(keys, a)]) if a is not None else np.array([(counts > 0).sum()], np.int64).tobytes() for a in asked]
+        pack = packed if kind == WORDS else coded
+        answers = [pack(values[np.searchsorted(keys, a)]) if a is not None else np.array([(counts > 0).sum()], np.int64).tobytes() for a in asked]
         m = len(blocks)
         return pa.table({"kind": pa.array([kind] * m, pa.int32()), "bucket": pa.array([bucket] * m, pa.int32()), "block": pa.array(blocks, pa.int32()), "answers": pa.array(answers, pa.binary())})
 
@@ -219,7 +229,7 @@ def _score(order: int, buckets: int, n_train: int, n_train_docs: int, vocabulary
         def filled(keys: np.ndarray, kind: int, dtype) -> np.ndarray:
             values = np.zeros(len(keys), dtype)
             for bucket, at in _split(keys, _BUCKET_OF[kind](keys, buckets)):
-                values[at] = unpacked(got[kind, bucket], dtype)
+                values[at] = unpacked(got[kind, bucket], dtype) if kind == WORDS else decoded(got[kind, bucket])
             return values
 
         owner = np.repeat(np.arange(n), block.n_words)
@@ -228,11 +238,12 @@ def _score(order: int, buckets: int, n_train: int, n_train_docs: int, vocabulary
         scale = np.log10(n_train + vocabulary + 1)
         base = np.bincount(owner, (np.log10(counts + 1) - scale)[place], n) + np.log10(n_train_docs + 1) - scale
         known = np.bincount(owner, (counts > 0)[place].astype(np.float64), n) + (n_train_docs > 0)
-        slices = list(block.grams())
+        # Each place's document is found again, as it would take as much memory as all else.
+        slices = [(distinct, place) for distinct, place, _ in block.grams()]
         every = np.unique(np.concatenate([s[0] for s in slices]))
         lengths = filled(every, GRAMS, np.float64)
         score = np.zeros(n)
-        for distinct, place, doc in slices:
+        for (distinct, place), doc in zip(slices, block.owners(), strict=True):
             score += np.bincount(doc, lengths[np.searchsorted(every, distinct)][place], n)
         return pa.table([docs.column("doc_id"), docs.column("train"), pa.array(block.n_words + 1), pa.array(known.astype(np.int64)), pa.array(np.full(n, n_train, np.int64)), pa.array(base), pa.array(score)], schema=_SCORED)
 
