@@ -2,44 +2,37 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
+import atexit
+import contextlib
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from boughs.session import ship_code
+from boughs.session import shared_folder, ship_code
 
 #: Java and Python regular expressions agree on this class: blank, and tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
 
 #: Spark deletes the shuffle files of a query once it has ended. What is written isn't run again, so it needs none.
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-_own_folder: dict[str, str] = {}
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor sees; a session without one (tests, local mode) gets a temporary one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        app = spark.sparkContext.applicationId
-        folder = _own_folder.setdefault(app, tempfile.mkdtemp(prefix="boughs-"))
-    return folder.rstrip("/")
-
 
 class Stash:
     """Intermediates written as Parquet in the shared folder, which survive lost executors.
 
-    ``drop`` deletes what later steps no longer read, and lets Spark clear the
-    shuffle files of finished steps.
+    ``drop`` deletes what later steps no longer read. What a result still reads
+    stays until the application ends, or ``clear`` is called.
     """
 
+    _open: dict[str, SparkSession] = {}
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        Stash._open[self.root] = spark
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
@@ -49,20 +42,28 @@ class Stash:
             df.write.parquet(path)
         finally:
             self.spark.conf.set(CLEANUP, before)
-        release(self.spark)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
-        jvm = self.spark.sparkContext._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(self.spark, f"{self.root}/{name}")
+
+    @classmethod
+    def clear(cls) -> None:
+        """Delete all intermediates of this application. Results that read them must have been written before."""
+        for root, spark in list(cls._open.items()):
+            # A session that has been stopped can't delete any more.
+            with contextlib.suppress(Exception):
+                _delete(spark, root)
+            cls._open.pop(root, None)
 
 
-def release(spark: SparkSession) -> None:
-    """Spark removes a shuffle's files once the driver has collected its last reference."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+atexit.register(Stash.clear)
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def text_or_empty(name: str = "text") -> Column:
@@ -102,6 +103,11 @@ def numbered(df: DataFrame, group: list[str], order: list[Column], fine: Column,
 
 
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Ready a session for operators in Python: whole texts go there, so an Arrow batch must hold few of them."""
+    """Ready a session for operators in Python: whole texts go there, so an Arrow batch must hold few of them.
+
+    Spark reads the setting when a result is computed, which is later, so it stays; a smaller one is left as it is.
+    """
     ship_code(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    now = int(spark.conf.get(BATCH))
+    if now <= 0 or now > rows:
+        spark.conf.set(BATCH, str(rows))

@@ -209,7 +209,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: int = 80, tex
     wanted = rows.join(ids.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
     sets = stash.keep(wanted.mapInArrow(_sets(shingle), "node long, set binary").distinct(), "sets")
 
-    labels = ids.withColumn("label", F.col("node"))
+    labels = own = ids.withColumn("label", F.col("node"))
     twice = placed.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").limit(1)
     if twice.count():
         # A repeated id ties the nodes of its rows together, those that share no bucket too.
@@ -242,6 +242,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: int = 80, tex
         if not found.isEmpty():
             labels = stash.keep(_relabelled(labels, components(found, stash, f"components-{turn}")), f"labels-{turn}")
 
+    if labels is own:  # nothing is linked
+        labels = placed.select("node").distinct().withColumn("label", F.col("node"))
+    # What follows reads the nodes and their labels alone.
+    stash.drop("members", "sets", *(f"{name}-{turn}" for name in ("open", "links") for turn in range(3)))
     final = placed.select("doc_id", "n", "node").join(labels, "node", "left").select("doc_id", "n", F.coalesce("label", "node").alias("component_id"))
     alone = all_.where("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
     empty = all_.where("n = 0 and doc_id is not null").select("doc_id")

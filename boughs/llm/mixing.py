@@ -8,6 +8,7 @@ is emitted once for every integer the sum crosses on it.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -57,8 +58,8 @@ def _fraction(c: Column) -> Column:
     return F.conv(F.substring(F.md5(c), 1, 12), 16, 10).cast("double") / float(16**12)
 
 
-def copies(sized: DataFrame, targets: DataFrame, seed: int = 0) -> DataFrame:
-    """Add source_size, target and copies to rows of (doc_id, source, size, ...).
+def copies(sized: DataFrame, targets: DataFrame, seed: int = 0, cap: float = MOST_COPIES) -> DataFrame:
+    """Add source_size, target and copies, at most ``cap`` rounded up, to rows of (doc_id, source, size, ...).
 
     Documents line up by size class, then by a hash of their id: neighbours in
     the sum are of similar size, so the words taken stay near the target, and no
@@ -72,10 +73,10 @@ def copies(sized: DataFrame, targets: DataFrame, seed: int = 0) -> DataFrame:
     ratio = F.coalesce(F.col("target") / F.nullif(F.col("source_size"), F.lit(0)), F.lit(0.0))
     start = _fraction(F.concat(F.coalesce(F.col("source"), F.lit("\x00")), F.lit(f"/{seed}")))
     crossed = F.floor(start + ratio * (F.col("__rank") + 1)) - F.floor(start + ratio * F.col("__rank"))
-    return rows.withColumn("copies", F.least(crossed, F.lit(MOST_COPIES)).cast("long")).drop("__rank")
+    return rows.withColumn("copies", F.least(crossed, F.lit(ceil(cap))).cast("long")).drop("__rank")
 
 
-def plan(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.0, seed: int = 0, text: str = "text") -> DataFrame:
+def plan(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.0, seed: int = 0, text: str = "text", cap: float = MOST_COPIES) -> DataFrame:
     """Per document doc_id, source, size, source_size, target and copies, without its text.
 
     Null text has size 0; a source without words has target 0 and no copies.
@@ -85,21 +86,23 @@ def plan(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.0
     stash = Stash(docs.sparkSession, "mixing")
     sized = stash.keep(docs.select("doc_id", "source", word_count(text).alias("size"), tie), "sizes")
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    return copies(sized, source_targets(sizes, weights, share), seed)
+    return copies(sized, source_targets(sizes, weights, share, cap), seed, cap)
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.0, seed: int = 0, text: str = "text") -> DataFrame:
+def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.0, seed: int = 0, text: str = "text", cap: float = MOST_COPIES) -> DataFrame:
     """The documents, each as often as the mix takes it, with all their columns.
 
-    Rows that agree in doc_id, source and text are told apart by their turn, so
-    each gets the copies planned for one of them.
+    Rows that agree in doc_id, source and text are told apart by their turn, in
+    the order of a hash of all their columns, so each gets the copies planned for
+    one of them, the same in every run.
     """
     on = ["doc_id", "source", "__tie"]
-    planned = plan(docs, weights, share, seed, text).where("copies > 0")
+    planned = plan(docs, weights, share, seed, text, cap).where("copies > 0")
     turn = Window.partitionBy(*on).orderBy(F.desc("copies"))
     planned = planned.select(*[F.col(c).alias(f"__p{i}") for i, c in enumerate(on)], "copies", F.row_number().over(turn).alias("__pturn"))
+    rest = F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map" not in kind and "variant" not in kind])
     keyed = docs.withColumn("__tie", F.xxhash64(text_or_empty(text)))
-    keyed = keyed.withColumn("__turn", F.row_number().over(Window.partitionBy(*on).orderBy(F.lit(1))))
+    keyed = keyed.withColumn("__turn", F.row_number().over(Window.partitionBy(*on).orderBy(rest)))
     same = F.col("doc_id").eqNullSafe(F.col("__p0")) & F.col("source").eqNullSafe(F.col("__p1")) & (F.col("__tie") == F.col("__p2")) & (F.col("__turn") == F.col("__pturn"))
     joined = keyed.join(planned, same)
     return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("__copy")).drop("__copy")
