@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 
 import numpy as np
@@ -201,6 +202,37 @@ def test_repeated_words_by_brute_force(spark):
         assert got[i] == len({j + k for j, g in enumerate(grams) if grams.count(g) > 1 for k in range(3)})
 
 
+def brute_repeats(rows):
+    first = {}
+    for d, t in rows:
+        data = (t or "").encode()
+        for i in range(len(data) - 49):
+            g = data[i : i + 50]
+            first[g] = min(first.get(g, suffix_dedup.LAST), suffix_dedup.LAST if d is None else d)
+    for d, t in rows:
+        data, gone = (t or "").encode(), set()
+        for i in range(len(data) - 49):
+            if first[data[i : i + 50]] < (suffix_dedup.LAST if d is None else d):
+                gone.update(range(i, i + 50))
+        kept = bytes(c for i, c in enumerate(data) if i not in gone)
+        yield d, len(data), len(gone), sum(i - 1 not in gone for i in gone), hashlib.sha256(kept).hexdigest()
+
+
+@pytest.mark.parametrize("gathered", [suffix_dedup.GATHERED, 3000])
+def test_repeats_by_brute_force(spark, monkeypatch, gathered):
+    """Texts of shared pieces, cut anywhere, with rhythmic ones, repeated and missing ids and repeated rows; in one part and in many."""
+    monkeypatch.setattr(suffix_dedup, "GATHERED", gathered)
+    rng = np.random.default_rng(5)
+    pieces = ["".join(rng.choice(list("abcé "), rng.integers(20, 140))) for _ in range(20)] + ["x" * 200, "ab" * 90, "abc" * 60]
+    texts = [None, "", "y" * 49, "y" * 50] + ["".join(pieces[rng.integers(len(pieces))][rng.integers(0, 15) :] for _ in range(rng.integers(1, 7))) for _ in range(250)]
+    rows = [(None if rng.random() < 0.2 else int(rng.integers(1, 200)), t) for t in texts]
+    rows += rows[:25]
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()
+    assert sorted(map(str, brute_repeats(rows))) == sorted(str((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)) for r in got)
+    for r in got:
+        assert r.n_removed == sum(b - a for a, b in zip(r.spans[::2], r.spans[1::2], strict=True)) and all(a < b for a, b in zip(r.spans, r.spans[1:]))
+
+
 def test_token_files_of_odd_input(spark, tmp_path):
     """Each row comes back with the ids of the plain tokenizer: nulls, repeated and missing ids, control strings, no rows at all."""
     from tokenizers import Tokenizer
