@@ -1,27 +1,29 @@
 """Removing passages that an earlier document has, by prefix doubling over sampled positions.
 
 A position's rank names the string of the current length that starts there; the
-ranks of two positions at an offset make the rank of a longer string. Spark sorts
-rows of (position, rank pair), ranks the sorted rows, and goes on with those
-positions alone that are still open:
+ranks of two positions at an offset make the rank of a longer string. Each round
+ranks at a greater length and goes on with those positions alone that are still
+open:
 
 1. At 24 bytes. Of the 27 starts of 24 bytes within a string of 50, the one of
    least rank is the string's anchor; equal strings have equal anchors. The
-   strings with one anchor are neighbours, which make a run. Sorted by rank, an
-   anchor that stands alone is unique, and so are its strings.
-2. At the length of the run, 50 to 76 bytes, by the pair of the anchor's rank and
-   the run's. In sorted order the first document of a pair keeps it, and all later
-   ones lose it whole. The first goes on only if its anchor has unlike runs.
-3. At 50 bytes, by the ranks of the strings of the runs that are left.
+   strings with one anchor are neighbours, which make a run. An anchor that stands
+   alone is unique, and so are its strings. As most are, their ranks go as sorted
+   arrays between blocks of documents and buckets of ranks, and no row is made.
+2. At the length of the run, 50 to 76 bytes. Spark sorts rows of rank pairs, the
+   anchor's and the run's. In sorted order the first document of a pair keeps it,
+   and all later ones lose it whole. The first goes on only if its anchor has
+   unlike runs.
+3. At 50 bytes: Spark sorts the rank pairs of the strings of the runs that are left.
 
 Ranks within a text are doubled in numpy (1, 2, 4, 8, 16, 24, 32, 50 bytes), as
 the two ranks of a pair stand side by side there. A rank is a hash, and both of a
-pair, 128 bits, have to agree for two strings to count as equal: among n strings
-about n^2 / 2^129 pairs are wrong.
+pair have to agree for two strings to count as equal, 96 bits or more: among n
+strings about n^2 / 2^97 pairs are wrong.
 
-A rank that many documents have sends one row for each part of a partition, some
-megabytes of text, and is settled there for the rest, so no task gets a row for
-each of its documents.
+A rank that many documents have sends one row for each block, some megabytes of
+text, and is settled there for the rest, so no task gets a row for each of its
+documents.
 """
 
 from __future__ import annotations
@@ -34,12 +36,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stash, small_batches, text_or_empty
+from .common import Stash, blocks_for, small_batches, text_or_empty
 from .hashing import U, mix
 
 LENGTH, ANCHOR = 50, 24
 SPAN = LENGTH - ANCHOR + 1
-#: String starts that are ranked at once, and bytes of text that are combined before the rows go to Spark.
+#: String starts that are ranked at once, and bytes of text of a block.
 SLICE, GATHERED = 1 << 17, 4 << 20
 #: Orders rows without doc_id after all others.
 LAST = np.iinfo(np.int64).max
@@ -64,14 +66,16 @@ def _doubled(ranks: np.ndarray, offset: int) -> np.ndarray:
     return _pair(ranks[:-offset], ranks[offset:])
 
 
-def ranks(data: np.ndarray, turned: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Ranks of the 24 and the 50 bytes from each position on; ``turned`` gives independent ones."""
+def ranks(data: np.ndarray, length: int = LENGTH, turned: bool = False) -> np.ndarray | tuple[np.ndarray, np.ndarray]:
+    """Ranks of the 24, or of the 24 and the 50 bytes from each position on; ``turned`` gives independent ones."""
     h = mix(_BYTES ^ _OTHER)[data] if turned else _BYTES[data]
     for k in (1, 2, 4):
         h = _doubled(h, k)
     eight = h
     h = _doubled(h, 8)
     anchor = _pair(h[: len(h) - 8], eight[16:])
+    if length == ANCHOR:
+        return anchor
     h = _doubled(h, 16)
     return anchor, _doubled(h, LENGTH - 32)
 
@@ -94,14 +98,28 @@ class Texts:
         self.data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
         self.starts, self.ends = offsets[:-1] - offsets[0], offsets[1:] - offsets[0]
 
+    def anchors(self) -> np.ndarray:
+        """The ranks of the anchors of all runs."""
+        out = [np.zeros(0, U)]
+        for a in range(0, max(0, len(self.data) - LENGTH + 1), SLICE):
+            anchor = ranks(self.data[a : a + SLICE + LENGTH - 1], ANCHOR)
+            p = self._whole(a, len(anchor) - SPAN + 1)[0]
+            at = p + least_within(anchor)[p]
+            out.append(anchor[at[np.append(True, at[1:] != at[:-1])]] if len(at) else anchor[:0])
+        return np.concatenate(out)
+
+    def _whole(self, a: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Which of n positions from ``a`` on start a string within one text, and all positions' texts."""
+        owner = np.searchsorted(self.ends, np.arange(a, a + n), side="right")
+        return np.flatnonzero(np.arange(a, a + n) + LENGTH <= self.ends[owner]), owner
+
     def runs(self) -> dict[str, np.ndarray]:
         """All runs: start, count of strings, rank of the anchor, rank of the run, text."""
         kinds = {"start": np.int64, "count": np.int64, "anchor": U, "run": U, "text": np.int64}
         out: dict[str, list[np.ndarray]] = {k: [] for k in kinds}
         for a in range(0, max(0, len(self.data) - LENGTH + 1), SLICE):
             anchor, fifty = ranks(self.data[a : a + SLICE + LENGTH - 1])
-            owner = np.searchsorted(self.ends, np.arange(a, a + len(fifty)), side="right")
-            p = np.flatnonzero(np.arange(a, a + len(fifty)) + LENGTH <= self.ends[owner])
+            p, owner = self._whole(a, len(fifty))
             if not len(p):
                 continue
             at = p + least_within(anchor)[p]
@@ -124,7 +142,7 @@ class Texts:
             if hi > lo:
                 first, last = int(pos[lo]), int(pos[hi - 1])
                 for i in (0, 1):
-                    found[i, lo:hi] = ranks(self.data[first : last + LENGTH], bool(i))[1][pos[lo:hi] - first]
+                    found[i, lo:hi] = ranks(self.data[first : last + LENGTH], LENGTH, bool(i))[1][pos[lo:hi] - first]
         return pos, found[0], found[1]
 
 
@@ -160,47 +178,55 @@ def _places(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     return start * 32 + count
 
 
-ANCHORS = "rank long, ref long, at long"
-MARK = -1
+BUCKETS = 64
+#: Bytes of an anchor's rank that are sent; its bucket adds 6 bits or more. Ranks that are taken for equal only stay open.
+SENT = 5
+ASKS = "bucket int, block int, ranks binary"
+_ASKS = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("ranks", pa.binary())])
+ANSWERS = "block int, bucket int, shared binary"
 
 
-def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each run. Ranks that a batch has twice are known not to be unique: those rows say so (at is odd), and one row marks the rank."""
-    for batch in _gathered(batches):
-        texts = Texts(batch)
-        r = texts.runs()
-        order = np.argsort(r["anchor"], kind="stable")
-        key = r["anchor"][order]
-        new = _firsts(key)
-        twice = ~new | np.append(~new[1:], False)[: len(new)]
-        at = _places(r["start"] - texts.starts[r["text"]], r["count"])[order] * 2 + twice
-        ref = batch.column("ref").to_numpy()[r["text"][order]]
-        marks = key[new & twice]
-        rank = np.concatenate([key, marks]).view(np.int64)
-        columns = [rank, np.concatenate([ref, np.zeros(len(marks), np.int64)]), np.concatenate([at, np.full(len(marks), MARK)])]
-        for a in range(0, len(rank), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(c[a : a + (1 << 16)]) for c in columns], names=["rank", "ref", "at"])
-
-
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by rank, those whose rank isn't unique."""
-    held = [np.zeros(0, np.int64)] * 3
-    before = False  # whether the held row has an equal one before it
-
-    def settled(rank: np.ndarray, ref: np.ndarray, at: np.ndarray, last: bool) -> tuple[pa.RecordBatch, list[np.ndarray], bool]:
-        n = len(rank) - (not last)
-        same = np.append(rank[1:] == rank[:-1], False)
-        earlier = np.concatenate([[before], same[:-1]])
-        keep = np.flatnonzero(((same | earlier | (at & 1 == 1)) & (at != MARK))[:n])
-        out = pa.RecordBatch.from_arrays([pa.array(ref[keep]), pa.array(at[keep] >> 1)], names=["ref", "at"])
-        return out, [rank[n:], ref[n:], at[n:]], bool(earlier[-1])
+def _bucket(rank: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix(rank) % U(buckets)).astype(np.int64)
+
+
+def _split(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(bucket, places of its ranks), in the order that the answers will have."""
+    order = np.argsort(bucket, kind="stable")
+    edges = np.flatnonzero(_firsts(bucket[order]))
+    for a, b in zip(edges, np.append(edges[1:], len(order)), strict=True):
+        yield int(bucket[order[a]]), order[a:b]
 
-    for batch in batches:
-        if batch.num_rows:
-            out, held, before = settled(*(np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns, strict=True)), False)
-            yield out
-    if len(held[0]):
-        yield settled(*held, True)[0]
+
+def _batch(table: pa.Table) -> pa.RecordBatch:
+    return table.combine_chunks().to_batches()[0]
+
+
+def _ask(buckets: int) -> Callable[[pa.Table], pa.Table]:
+    """A block's distinct anchors, by bucket."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rank = np.unique(Texts(_batch(table)).anchors())
+        number, out = table.column("block")[0].as_py(), []
+        for bucket, at in _split(_bucket(rank, buckets)):
+            short = rank[at].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :SENT]
+            out.append({"bucket": bucket, "block": number, "ranks": short.tobytes()})
+        return pa.Table.from_pylist(out, schema=_ASKS)
+
+    return run
+
+
+def _answer(table: pa.Table) -> pa.Table:
+    """For each rank of a bucket, in the order it was asked about, a bit: whether several blocks have it."""
+    asked = table.column("ranks").to_pylist()
+    raw = np.frombuffer(b"".join(asked), np.uint8).reshape(-1, SENT)
+    rank = np.zeros((len(raw), 8), np.uint8)
+    rank[:, :SENT] = raw
+    _, place, count = np.unique(rank.reshape(-1).view("<u8"), return_inverse=True, return_counts=True)
+    shared = count[place] > 1
+    ends = np.cumsum([len(x) // SENT for x in asked])
+    bits = [np.packbits(shared[a:b]).tobytes() for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+    return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "shared": pa.array(bits, pa.binary())})
 
 
 #: (rank, pair) and the runs, ``data``, that a text (order, tie) has of it: asked about, removed, or the first of their kind.
@@ -230,8 +256,8 @@ def _combined(rank: np.ndarray, pair: np.ndarray, at: np.ndarray, text: np.ndarr
     if later.any():
         gone = np.flatnonzero(later)
         gone = gone[np.argsort(text[gone], kind="stable")]
-        zero = np.zeros(len(gone), np.int64)
-        yield _rows(REMOVED, zero, zero, order[text[gone]], tie[text[gone]], at[gone], _firsts(text[gone]))
+        # No name: these rows are dealt by their document.
+        yield _rows(REMOVED, order[text[gone]], tie[text[gone]], order[text[gone]], tie[text[gone]], at[gone], _firsts(text[gone]))
     rank, pair, at, text = rank[~later], pair[~later], at[~later], text[~later]
     new = np.flatnonzero(_firsts(rank, pair, text))
     for a in range(0, len(new), 1 << 16):
@@ -240,17 +266,26 @@ def _combined(rank: np.ndarray, pair: np.ndarray, at: np.ndarray, text: np.ndarr
         yield _rows(ASKED, rank[part], pair[part], order[text[part]], tie[text[part]], at[part], _firsts(rank[part], pair[part], text[part]))
 
 
-def _runs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rank pairs of the runs at the open anchors of each text."""
-    for batch in _gathered(batches):
+def _runs_of(buckets: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The rank pairs of the runs at the open anchors of a block."""
+
+    def run(table: pa.Table, answers: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return _RANKED.empty_table()
+        batch = _batch(table)
         texts = Texts(batch)
+        got = dict(zip(answers.column("bucket").to_pylist(), answers.column("shared").to_pylist(), strict=True))
         r = texts.runs()
-        ats = batch.column("ats")
-        owner = np.repeat(np.arange(batch.num_rows), pc.list_value_length(ats).to_numpy())
-        wanted = texts.starts[owner] + (ats.flatten().to_numpy() >> 5)
-        on = np.isin(r["start"], wanted)
+        rank, place, count = np.unique(r["anchor"], return_inverse=True, return_counts=True)
+        open_ = count > 1
+        for bucket, at in _split(_bucket(rank, buckets)):
+            open_[at] |= np.unpackbits(np.frombuffer(got[bucket], np.uint8), count=len(at)).astype(bool)
+        on = open_[place]
         text = r["text"][on]
-        yield from _combined(r["anchor"][on], r["run"][on], _places(r["start"][on] - texts.starts[text], r["count"][on]), text, batch)
+        found = _combined(r["anchor"][on], r["run"][on], _places(r["start"][on] - texts.starts[text], r["count"][on]), text, batch)
+        return pa.Table.from_batches(list(found), schema=_RANKED)
+
+    return run
 
 
 def _decoded(ats: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -271,14 +306,19 @@ def _strings_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start, count, row = _decoded(batch.column("ats"))
         whole = np.unique(_places(start + texts.starts[row], count))
         pos, rank, pair = texts.strings(whole >> 5, whole & 31)
+        pair &= U(0xFFFFFFFF)  # the other 32 bits would cost more than they tell
         text = np.searchsorted(texts.ends, pos, side="right")
         yield from _combined(rank, pair, _places(pos - texts.starts[text], np.int64(1)), text, batch)
 
 
 def _reranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (rank, pair, order): the first document's are the first of their kind, all others are removed."""
+    """Rows sorted by (rank, pair, order): the first document's are the first of their kind, all others are removed. Those that are removed already pass."""
     last, least = (None, None), 0
     for batch in batches:
+        done = pc.equal(batch.column("kind"), REMOVED)
+        if pc.any(done).as_py():
+            yield batch.filter(done)
+            batch = batch.filter(pc.invert(done))
         if not batch.num_rows:
             continue
         rank, pair, order = (batch.column(c).to_numpy() for c in ("rank", "pair", "order"))
@@ -288,12 +328,13 @@ def _reranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         firsts = np.concatenate([[least], order[new]])
         kind = np.where(order > firsts[group], REMOVED, FIRST).astype(np.int32)
         last, least = (rank[-1], pair[-1]), int(firsts[group[-1]])
-        yield pa.RecordBatch.from_arrays([pa.array(kind), *batch.columns[1:]], schema=_RANKED)
+        named = [pa.array(np.where(kind == FIRST, x, 0)) for x in (rank, pair)]  # what is removed needs no name any more
+        yield pa.RecordBatch.from_arrays([pa.array(kind), *named, *batch.columns[3:]], schema=_RANKED)
 
 
-def _sorted(rows: DataFrame, how: Callable) -> DataFrame:
-    asked = rows.where(F.col("kind") == ASKED).repartition("rank", "pair").sortWithinPartitions("rank", "pair", "order")
-    return asked.mapInArrow(how, RANKED)
+def _sorted(rows: DataFrame) -> DataFrame:
+    """Spark sorts the rank pairs, and ranks them anew."""
+    return rows.repartition("rank", "pair").sortWithinPartitions("rank", "pair", "order").mapInArrow(_reranked, RANKED)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -334,29 +375,27 @@ def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     stash = Stash(spark, "suffix-dedup")
     t, doc_id = text_or_empty(text), F.col("doc_id").cast("long")
     tie: Column = F.xxhash64(t)
-    base = docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(int(LAST))).alias("order"), tie.alias("tie"), F.coalesce(doc_id, tie).alias("ref"), t.alias("text"))
+    base = docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(int(LAST))).alias("order"), tie.alias("tie"), t.alias("text"))
     long = base.where(F.octet_length("text") >= LENGTH)
 
-    # Rows that are known to be open only pass through, so they are dealt by their place and not by their rank.
-    known = (F.col("at") != MARK) & (F.col("at").bitwiseAND(F.lit(1)) == 1)
-    first = long.select("ref", "text").mapInArrow(_anchors, ANCHORS)
-    first = first.repartition(F.when(known, F.xxhash64("ref", "at")).otherwise(F.col("rank"))).sortWithinPartitions("rank")
-    open_ = stash.keep(first.mapInArrow(_shared, "ref long, at long"), "anchors")
+    n = blocks_for(docs, text, GATHERED)
+    buckets = max(BUCKETS, n // 2)
+    blocks = long.select(F.pmod(F.xxhash64("order", "tie", F.lit(41)), F.lit(n)).cast("int").alias("block"), "order", "tie", "text")
+    asks = blocks.select("block", "text").groupBy("block").applyInArrow(_ask(buckets), ASKS)
+    answers = stash.keep(asks.groupBy("bucket").applyInArrow(_answer, ANSWERS), "anchors")
 
-    # Texts that share a ref are asked about the anchors of all of them; what isn't shared is settled next.
-    ats = open_.groupBy("ref").agg(F.collect_list("at").alias("ats"))
-    runs = stash.keep(long.join(ats, "ref").select("order", "tie", "text", "ats").mapInArrow(_runs_of, RANKED), "runs")
+    runs = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_runs_of(buckets), RANKED)
+    ranked = stash.keep(_sorted(runs), "runs")
     stash.drop("anchors")
-    ranked = stash.keep(_sorted(runs, _reranked), "ranked-runs")
 
     left = ranked.where(F.col("kind") == FIRST)
     unlike = left.groupBy("rank").agg(F.count(F.lit(1)).alias("n"), F.min("order").alias("a"), F.max("order").alias("b")).where("n > 1 and a < b").select("rank")
     ats = left.join(unlike, "rank", "left_semi").groupBy("order", "tie").agg(F.collect_list("data").alias("ats"))
-    strings = stash.keep(long.join(ats, ["order", "tie"]).select("order", "tie", "text", "ats").mapInArrow(_strings_of, RANKED), "strings")
-    last = _sorted(strings, _reranked)
+    strings = long.join(ats, ["order", "tie"]).select("order", "tie", "text", "ats").mapInArrow(_strings_of, RANKED)
+    gone = F.col("kind") == REMOVED
+    last = stash.keep(_sorted(strings).where(gone).select("order", "tie", "data"), "strings")
 
-    gone = [x.where(F.col("kind") == REMOVED).select("order", "tie", "data") for x in (runs, ranked, strings, last)]
-    removed = gone[0].unionByName(gone[1]).unionByName(gone[2]).unionByName(gone[3]).groupBy("order", "tie").agg(F.collect_list("data").alias("ats"))
+    removed = ranked.where(gone).select("order", "tie", "data").unionByName(last).groupBy("order", "tie").agg(F.collect_list("data").alias("ats"))
     found = base.join(removed, ["order", "tie"], "left").select("doc_id", "text", "ats").mapInArrow(_cut, "doc_id long, n_bytes long, spans array<long>, kept binary")
     n = (F.col("n_bytes") - F.octet_length("kept")).cast("long")
     return found.select("doc_id", "n_bytes", n.alias("n_removed"), (F.size("spans") / 2).cast("long").alias("n_spans"), "spans", "kept", F.sha2("kept", 256).alias("kept_sha256"))
