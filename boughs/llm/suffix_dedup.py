@@ -12,9 +12,10 @@ open:
    arrays between blocks of documents and buckets of ranks, and no row is made.
 2. At the length of the run, 50 to 76 bytes. Spark sorts rows of rank pairs, the
    anchor's and the run's. In sorted order the first document of a pair keeps it,
-   and all later ones lose it whole. The first goes on only if its anchor has
-   unlike runs.
-3. At 50 bytes: Spark sorts the rank pairs of the strings of the runs that are left.
+   and all later ones lose it whole. The first goes on with the strings that have
+   13 bytes or more before their anchor only if an unlike run has the same 13 there,
+   and with the others only if one has the same 14 behind it (37 and 38 bytes).
+3. At 50 bytes: Spark sorts the rank pairs of the strings that are left.
 
 Ranks within a text are doubled in numpy (1, 2, 4, 8, 16, 24, 32, 50 bytes), as
 the two ranks of a pair stand side by side there. A rank is a hash, and both of a
@@ -41,6 +42,8 @@ from .hashing import U, mix
 
 LENGTH, ANCHOR = 50, 24
 SPAN = LENGTH - ANCHOR + 1
+#: A string has so many bytes before its anchor, or else LENGTH - ANCHOR - BEFORE + 1 behind it at least.
+BEFORE = 13
 #: String starts that are ranked at once, and bytes of text of a block.
 SLICE, GATHERED = 1 << 17, 4 << 20
 #: Orders rows without doc_id after all others.
@@ -66,8 +69,8 @@ def _doubled(ranks: np.ndarray, offset: int) -> np.ndarray:
     return _pair(ranks[:-offset], ranks[offset:])
 
 
-def ranks(data: np.ndarray, length: int = LENGTH, turned: bool = False) -> np.ndarray | tuple[np.ndarray, np.ndarray]:
-    """Ranks of the 24, or of the 24 and the 50 bytes from each position on; ``turned`` gives independent ones."""
+def ranks(data: np.ndarray, length: int = LENGTH, turned: bool = False) -> np.ndarray | tuple[np.ndarray, ...]:
+    """Ranks of the 24, or of the 8, the 24 and the 50 bytes from each position on; ``turned`` gives independent ones."""
     h = mix(_BYTES ^ _OTHER)[data] if turned else _BYTES[data]
     for k in (1, 2, 4):
         h = _doubled(h, k)
@@ -77,7 +80,7 @@ def ranks(data: np.ndarray, length: int = LENGTH, turned: bool = False) -> np.nd
     if length == ANCHOR:
         return anchor
     h = _doubled(h, 16)
-    return anchor, _doubled(h, LENGTH - 32)
+    return eight, anchor, _doubled(h, LENGTH - 32)
 
 
 def least_within(anchor: np.ndarray) -> np.ndarray:
@@ -114,11 +117,11 @@ class Texts:
         return np.flatnonzero(np.arange(a, a + n) + LENGTH <= self.ends[owner]), owner
 
     def runs(self) -> dict[str, np.ndarray]:
-        """All runs: start, count of strings, rank of the anchor, rank of the run, text."""
-        kinds = {"start": np.int64, "count": np.int64, "anchor": U, "run": U, "text": np.int64}
+        """All runs: start, count of strings, how many of them are long before the anchor, ranks of the anchor, the run and both sides, text."""
+        kinds = {"start": np.int64, "count": np.int64, "before": np.int64, "anchor": U, "run": U, "sides": np.int64, "text": np.int64}
         out: dict[str, list[np.ndarray]] = {k: [] for k in kinds}
         for a in range(0, max(0, len(self.data) - LENGTH + 1), SLICE):
-            anchor, fifty = ranks(self.data[a : a + SLICE + LENGTH - 1])
+            eight, anchor, fifty = ranks(self.data[a : a + SLICE + LENGTH - 1])
             p, owner = self._whole(a, len(fifty))
             if not len(p):
                 continue
@@ -128,7 +131,14 @@ class Texts:
             key = anchor[at[first]]
             # The ranks of a run's strings, added up, rank the run.
             run = mix(key * _A + np.add.reduceat(mix(fifty[p]), first))
-            for k, v in zip(out, (p[first] + a, count, key, run, owner[p[first]]), strict=True):
+            at, start = at[first], p[first]
+            before = np.clip(at - BEFORE - start + 1, 0, count)
+            # A side that no string reaches to is 0. Its bytes may lie outside of the slice then.
+            get = lambda i: eight[np.clip(i, 0, len(eight) - 1)]
+            left = np.where(before > 0, _pair(get(at - BEFORE), get(at - 8)) >> U(33) | U(1), U(0))
+            right = np.where(before < count, _pair(get(at + ANCHOR), get(at + ANCHOR + LENGTH - ANCHOR - BEFORE + 1 - 8)) >> U(33) | U(1), U(0))
+            sides = (left << U(32) | right).view(np.int64)
+            for k, v in zip(out, (start + a, count, before, key, run, sides, owner[start]), strict=True):
                 out[k].append(v)
         return {k: np.concatenate(v) if v else np.zeros(0, kinds[k]) for k, v in out.items()}
 
@@ -142,7 +152,7 @@ class Texts:
             if hi > lo:
                 first, last = int(pos[lo]), int(pos[hi - 1])
                 for i in (0, 1):
-                    found[i, lo:hi] = ranks(self.data[first : last + LENGTH], LENGTH, bool(i))[1][pos[lo:hi] - first]
+                    found[i, lo:hi] = ranks(self.data[first : last + LENGTH], LENGTH, bool(i))[2][pos[lo:hi] - first]
         return pos, found[0], found[1]
 
 
@@ -171,11 +181,9 @@ def _firsts(*sorted_: np.ndarray) -> np.ndarray:
     return new
 
 
-# A run in its text: start * 32 + count. A string is a run of one.
-
-
-def _places(start: np.ndarray, count: np.ndarray) -> np.ndarray:
-    return start * 32 + count
+def _places(start: np.ndarray, count: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """A run in its text as one number. A string is a run of one."""
+    return start * 1024 + count * 32 + before
 
 
 BUCKETS = 64
@@ -230,40 +238,40 @@ def _answer(table: pa.Table) -> pa.Table:
 
 
 #: (rank, pair) and the runs, ``data``, that a text (order, tie) has of it: asked about, removed, or the first of their kind.
-RANKED = "kind int, rank long, pair long, order long, tie long, data binary"
-_RANKED = pa.schema([("kind", pa.int32()), ("rank", pa.int64()), ("pair", pa.int64()), ("order", pa.int64()), ("tie", pa.int64()), ("data", pa.binary())])
+RANKED = "kind int, rank long, pair long, sides long, order long, tie long, data binary"
+_RANKED = pa.schema([("kind", pa.int32()), ("rank", pa.int64()), ("pair", pa.int64()), ("sides", pa.int64()), ("order", pa.int64()), ("tie", pa.int64()), ("data", pa.binary())])
 ASKED, REMOVED, FIRST = 0, 1, 2
 
 
-def _rows(kind: int, rank: np.ndarray, pair: np.ndarray, order: np.ndarray, tie: np.ndarray, at: np.ndarray, new: np.ndarray) -> pa.RecordBatch:
+def _rows(kind: int, rank: np.ndarray, pair: np.ndarray, sides: np.ndarray, order: np.ndarray, tie: np.ndarray, at: np.ndarray, new: np.ndarray) -> pa.RecordBatch:
     """A row for each stretch of sorted runs that begins where ``new`` is, with all of its runs."""
     first = np.flatnonzero(new)
     edges = pa.py_buffer((np.append(first, len(at)) * 8).astype(np.int32))
     data = pa.Array.from_buffers(pa.binary(), len(first), [None, edges, pa.py_buffer(np.ascontiguousarray(at, np.int64))])
-    own = [pa.array(c[first].view(np.int64)) for c in (rank, pair, order, tie)]
+    own = [pa.array(c[first].view(np.int64)) for c in (rank, pair, sides, order, tie)]
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(first), kind, np.int32)), *own, data], schema=_RANKED)
 
 
-def _combined(rank: np.ndarray, pair: np.ndarray, at: np.ndarray, text: np.ndarray, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+def _combined(rank: np.ndarray, pair: np.ndarray, sides: np.ndarray, at: np.ndarray, text: np.ndarray, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """Settle a batch's rank pairs as far as it goes: later documents lose them, the first asks about them."""
     if not len(rank):
         return
     order, tie = (batch.column(c).to_numpy() for c in ("order", "tie"))
     by = np.lexsort((at, text, order[text], pair, rank))
-    rank, pair, at, text = rank[by], pair[by], at[by], text[by]
+    rank, pair, sides, at, text = rank[by], pair[by], sides[by], at[by], text[by]
     new = _firsts(rank, pair)
     later = order[text] > order[text[np.flatnonzero(new)]][np.cumsum(new) - 1]
     if later.any():
         gone = np.flatnonzero(later)
         gone = gone[np.argsort(text[gone], kind="stable")]
         # No name: these rows are dealt by their document.
-        yield _rows(REMOVED, order[text[gone]], tie[text[gone]], order[text[gone]], tie[text[gone]], at[gone], _firsts(text[gone]))
-    rank, pair, at, text = rank[~later], pair[~later], at[~later], text[~later]
+        yield _rows(REMOVED, order[text[gone]], tie[text[gone]], np.zeros(len(gone), np.int64), order[text[gone]], tie[text[gone]], at[gone], _firsts(text[gone]))
+    rank, pair, sides, at, text = rank[~later], pair[~later], sides[~later], at[~later], text[~later]
     new = np.flatnonzero(_firsts(rank, pair, text))
     for a in range(0, len(new), 1 << 16):
         lo, hi = new[a], len(at) if a + (1 << 16) >= len(new) else new[a + (1 << 16)]
         part = slice(lo, hi)
-        yield _rows(ASKED, rank[part], pair[part], order[text[part]], tie[text[part]], at[part], _firsts(rank[part], pair[part], text[part]))
+        yield _rows(ASKED, rank[part], pair[part], sides[part], order[text[part]], tie[text[part]], at[part], _firsts(rank[part], pair[part], text[part]))
 
 
 def _runs_of(buckets: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
@@ -282,33 +290,39 @@ def _runs_of(buckets: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
             open_[at] |= np.unpackbits(np.frombuffer(got[bucket], np.uint8), count=len(at)).astype(bool)
         on = open_[place]
         text = r["text"][on]
-        found = _combined(r["anchor"][on], r["run"][on], _places(r["start"][on] - texts.starts[text], r["count"][on]), text, batch)
+        at = _places(r["start"][on] - texts.starts[text], r["count"][on], r["before"][on])
+        found = _combined(r["anchor"][on], r["run"][on], r["sides"][on], at, text, batch)
         return pa.Table.from_batches(list(found), schema=_RANKED)
 
     return run
 
 
-def _decoded(ats: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, count, row) of lists of packed runs."""
+def _decoded(ats: pa.Array) -> tuple[np.ndarray, ...]:
+    """(start, count, count of strings long before the anchor, row) of lists of packed runs."""
     rows, parts = [], []
     for i, found in enumerate(ats.to_pylist()):
         for data in found or ():
             parts.append(np.frombuffer(data, np.int64))
             rows.append(np.full(len(parts[-1]), i))
     at, row = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (parts, rows))
-    return at >> 5, at & 31, row
+    return at >> 10, at >> 5 & 31, at & 31, row
 
 
 def _strings_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rank pairs of the strings of the open runs of each text."""
+    """The rank pairs of the strings of the open sides of each text's runs."""
     for batch in _gathered(batches):
         texts = Texts(batch)
-        start, count, row = _decoded(batch.column("ats"))
-        whole = np.unique(_places(start + texts.starts[row], count))
+        parts = []
+        for side in (0, 1):
+            start, count, before, row = _decoded(batch.column(f"side{side}"))
+            first, n = (start + before, count - before) if side else (start, before)
+            parts.append((first + texts.starts[row]) * 32 + n)
+        whole = np.unique(np.concatenate(parts))
         pos, rank, pair = texts.strings(whole >> 5, whole & 31)
         pair &= U(0xFFFFFFFF)  # the other 32 bits would cost more than they tell
         text = np.searchsorted(texts.ends, pos, side="right")
-        yield from _combined(rank, pair, _places(pos - texts.starts[text], np.int64(1)), text, batch)
+        none = np.zeros(len(pos), np.int64)
+        yield from _combined(rank, pair, none, _places(pos - texts.starts[text], np.int64(1), none), text, batch)
 
 
 def _reranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -340,7 +354,7 @@ def _sorted(rows: DataFrame) -> DataFrame:
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column("text").to_pylist()
-        start, count, row = _decoded(batch.column("ats"))
+        start, count, _, row = _decoded(batch.column("ats"))
         edges = np.searchsorted(row, np.arange(len(texts) + 1))
         kept, spans = [], []
         for i, text in enumerate(texts):
@@ -388,10 +402,16 @@ def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     ranked = stash.keep(_sorted(runs), "runs")
     stash.drop("anchors")
 
-    left = ranked.where(F.col("kind") == FIRST)
-    unlike = left.groupBy("rank").agg(F.count(F.lit(1)).alias("n"), F.min("order").alias("a"), F.max("order").alias("b")).where("n > 1 and a < b").select("rank")
-    ats = left.join(unlike, "rank", "left_semi").groupBy("order", "tie").agg(F.collect_list("data").alias("ats"))
-    strings = long.join(ats, ["order", "tie"]).select("order", "tie", "text", "ats").mapInArrow(_strings_of, RANKED)
+    # A run with an anchor of its own has no unlike ones, so only the others' sides are compared.
+    left = ranked.where(F.col("kind") == FIRST).select("rank", "sides", "order", "tie", "data")
+    several = [F.count(F.lit(1)).alias("n"), F.min("order").alias("a"), F.max("order").alias("b")]
+    unlike = left.groupBy("rank").agg(*several).where("n > 1 and a < b").select("rank")
+    both = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.expr(how).alias("h")) for i, how in enumerate(("shiftright(sides, 32)", "sides & 4294967295"))])).alias("side")
+    sides = left.join(unlike, "rank", "left_semi").select("rank", "order", "tie", "data", both).where("side.h <> 0")
+    shared = sides.groupBy("rank", "side").agg(*several).where("n > 1 and a < b").select("rank", "side")
+    data = lambda i: F.collect_list(F.when(F.col("side.i") == i, F.col("data"))).alias(f"side{i}")
+    ats = sides.join(shared, ["rank", "side"], "left_semi").groupBy("order", "tie").agg(data(0), data(1))
+    strings = long.join(ats, ["order", "tie"]).select("order", "tie", "text", "side0", "side1").mapInArrow(_strings_of, RANKED)
     gone = F.col("kind") == REMOVED
     last = stash.keep(_sorted(strings).where(gone).select("order", "tie", "data"), "strings")
 
