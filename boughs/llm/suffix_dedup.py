@@ -1,62 +1,54 @@
 """Removing passages that an earlier document has, by prefix doubling over sampled positions.
 
-A position's rank names the string of the current length that starts there; the
-ranks of two positions at an offset make the rank of a longer string. Each round
-ranks at a greater length and goes on with those positions alone that are still
-open:
-
-1. At 24 bytes. Of the 27 starts of 24 bytes within a string of 50, the one of
-   least rank is the string's anchor; equal strings have equal anchors. The
-   strings with one anchor are neighbours, which make a run. An anchor that stands
-   alone is unique, and so are its strings. As most are, their ranks go as sorted
-   arrays between blocks of documents and buckets of ranks, and no row is made.
-2. At the length of the run, 50 to 76 bytes. Spark sorts rows of rank pairs, the
-   anchor's and the run's. In sorted order the first document of a pair keeps it,
-   and all later ones lose it whole. The first goes on with the strings that have
-   13 bytes or more before their anchor only if an unlike run has the same 13 there,
-   and with the others only if one has the same 14 behind it (37 and 38 bytes).
-3. At 50 bytes: Spark sorts the rank pairs of the strings that are left.
-
-Ranks within a text are doubled in numpy (1, 2, 4, 8, 16, 24, 32, 50 bytes), as
-the two ranks of a pair stand side by side there. A rank is a hash, and both of a
-pair have to agree for two strings to count as equal, 96 bits or more: among n
-strings about n^2 / 2^97 pairs are wrong.
-
-A rank that many documents have sends one row for each block, some megabytes of
-text, and is settled there for the rest, so no task gets a row for each of its
-documents.
+A position's rank names the string of the current length that starts there;
+the ranks of two positions at an offset make the rank at the double length.
+Within a document the doubling runs on 64-bit names (1, 2, 4, 8, 16, 24, 32, 50
+bytes), where the two ranks of a pair stand side by side. Across documents Spark
+sorts and reranks in three rounds, each at a greater length, and each round goes
+on only with the positions that the one before has not settled:
+
+1. Anchors, at 24 bytes. Of the 27 starts of 24 bytes within a string of 50, the
+   one of least name is the string's anchor; equal strings have equal anchors.
+   Strings with one anchor are neighbours and make a run. An anchor that no
+   other run shares is unique, and its strings with it.
+2. Runs, at the length of the run (50 to 76 bytes), sorted in the same step. A
+   run equal to one of an earlier document is removed whole. Of equal runs only
+   the first document's goes on, and only if its anchor has unequal runs too.
+3. Strings, at 50 bytes, of the runs that are left.
+
+So each string of 50 bytes is compared with all others, without a row for every
+byte of the corpus. Names are hashes and no bytes are compared: unlike runs under
+one anchor are taken for equal if 64 bits agree, unlike strings if 96 do. Sorted names go between blocks of documents and buckets of
+names as arrays; each block sends a name once, whoever has it (see exchange.py).
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stash, blocks_for, small_batches, text_or_empty
+from .common import Stash, blocks_for, small_batches
+from .exchange import with_blocks
 from .hashing import U, mix
 
 LENGTH, ANCHOR = 50, 24
 SPAN = LENGTH - ANCHOR + 1
-#: A string has so many bytes before its anchor, or else LENGTH - ANCHOR - BEFORE + 1 behind it at least.
-BEFORE = 13
-#: String starts that are ranked at once, and bytes of text of a block.
-SLICE, GATHERED = 1 << 17, 4 << 20
+#: String starts that are named at once.
+SLICE = 1 << 17
+BUCKETS = 64
 #: Orders rows without doc_id after all others.
 LAST = np.iinfo(np.int64).max
 
 _BYTES = mix(np.arange(1, 257, dtype=U) * U(0xA24BAED4963EE407))
 _A, _B = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93)
-#: Turns the bytes' ranks into others for the second half of a string's rank.
-_OTHER = U(0xC2B2AE3D27D4EB4F)
 
 
 def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The rank of two ranks in a row."""
+    """The name of two names in a row."""
     z = a * _A
     z += b
     z ^= z >> U(29)
@@ -65,26 +57,28 @@ def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return z
 
 
-def _doubled(ranks: np.ndarray, offset: int) -> np.ndarray:
-    return _pair(ranks[:-offset], ranks[offset:])
+def _doubled(names: np.ndarray, offset: int) -> np.ndarray:
+    return _pair(names[:-offset], names[offset:])
 
 
-def ranks(data: np.ndarray, length: int = LENGTH, turned: bool = False) -> np.ndarray | tuple[np.ndarray, ...]:
-    """Ranks of the 24, or of the 8, the 24 and the 50 bytes from each position on; ``turned`` gives independent ones."""
+#: Turns the bytes' names into others, for more bits of a string's name.
+_OTHER = U(0xC2B2AE3D27D4EB4F)
+
+
+def names(data: np.ndarray, turned: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Names of the 24 and the 50 bytes from each position on; ``turned`` gives independent ones."""
     h = mix(_BYTES ^ _OTHER)[data] if turned else _BYTES[data]
     for k in (1, 2, 4):
         h = _doubled(h, k)
     eight = h
     h = _doubled(h, 8)
     anchor = _pair(h[: len(h) - 8], eight[16:])
-    if length == ANCHOR:
-        return anchor
     h = _doubled(h, 16)
-    return eight, anchor, _doubled(h, LENGTH - 32)
+    return anchor, _doubled(h, LENGTH - 32)
 
 
 def least_within(anchor: np.ndarray) -> np.ndarray:
-    """For each string the offset of its anchor: the first of the least of SPAN ranks."""
+    """For each string the offset of its anchor: the first of the least of SPAN names."""
     m = anchor & ~U(255)
     for k in (1, 2, 4, 8):
         m = np.minimum(m[:-k], m[k:] + U(k))
@@ -93,289 +87,296 @@ def least_within(anchor: np.ndarray) -> np.ndarray:
 
 
 class Texts:
-    """The texts of a batch as one array of bytes."""
-
-    def __init__(self, batch: pa.RecordBatch, column: str = "text"):
-        texts = batch.column(column)
-        offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
-        self.data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
-        self.starts, self.ends = offsets[:-1] - offsets[0], offsets[1:] - offsets[0]
-
-    def anchors(self) -> np.ndarray:
-        """The ranks of the anchors of all runs."""
-        out = [np.zeros(0, U)]
+    """A block's documents in ascending order of doc_id, as one array of bytes."""
+
+    def __init__(self, doc_ids: list[int | None], texts: list[bytes]):
+        ids = np.array([LAST if d is None else d for d in doc_ids], np.int64)
+        order = np.argsort(ids, kind="stable")
+        self.doc_ids, self.ids = [doc_ids[i] for i in order], ids[order]
+        self.texts = [texts[i] for i in order]
+        self.ends = np.cumsum([len(t) for t in self.texts], dtype=np.int64)
+        self.starts = self.ends - np.array([len(t) for t in self.texts], np.int64)
+        self.data = np.frombuffer(b"".join(self.texts), np.uint8)
+
+    def slices(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(first position, 24-byte names, 50-byte names, documents, whether a string ends within its document)."""
         for a in range(0, max(0, len(self.data) - LENGTH + 1), SLICE):
-            anchor = ranks(self.data[a : a + SLICE + LENGTH - 1], ANCHOR)
-            p = self._whole(a, len(anchor) - SPAN + 1)[0]
-            at = p + least_within(anchor)[p]
-            out.append(anchor[at[np.append(True, at[1:] != at[:-1])]] if len(at) else anchor[:0])
-        return np.concatenate(out)
-
-    def _whole(self, a: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Which of n positions from ``a`` on start a string within one text, and all positions' texts."""
-        owner = np.searchsorted(self.ends, np.arange(a, a + n), side="right")
-        return np.flatnonzero(np.arange(a, a + n) + LENGTH <= self.ends[owner]), owner
+            part = self.data[a : a + SLICE + LENGTH - 1]
+            anchor, fifty = names(part)
+            doc = np.searchsorted(self.ends, np.arange(a, a + len(fifty)), side="right")
+            yield a, anchor, fifty, doc, np.arange(a, a + len(fifty)) + LENGTH <= self.ends[doc]
 
     def runs(self) -> dict[str, np.ndarray]:
-        """All runs: start, count of strings, how many of them are long before the anchor, ranks of the anchor, the run and both sides, text."""
-        kinds = {"start": np.int64, "count": np.int64, "before": np.int64, "anchor": U, "run": U, "sides": np.int64, "text": np.int64}
-        out: dict[str, list[np.ndarray]] = {k: [] for k in kinds}
-        for a in range(0, max(0, len(self.data) - LENGTH + 1), SLICE):
-            eight, anchor, fifty = ranks(self.data[a : a + SLICE + LENGTH - 1])
-            p, owner = self._whole(a, len(fifty))
+        """All runs: start, count of strings, name of the anchor, name of the run, document."""
+        out: dict[str, list[np.ndarray]] = {k: [] for k in ("start", "count", "anchor", "run", "doc")}
+        for a, anchor, fifty, doc, whole in self.slices():
+            p = np.flatnonzero(whole)
             if not len(p):
                 continue
             at = p + least_within(anchor)[p]
             first = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (p[1:] != p[:-1] + 1)]))
-            count = np.diff(np.append(first, len(p)))
+            count = np.diff(np.concatenate([first, [len(p)]]))
             key = anchor[at[first]]
-            # The ranks of a run's strings, added up, rank the run.
-            run = mix(key * _A + np.add.reduceat(mix(fifty[p]), first))
-            at, start = at[first], p[first]
-            before = np.clip(at - BEFORE - start + 1, 0, count)
-            # A side that no string reaches to is 0. Its bytes may lie outside of the slice then.
-            get = lambda i: eight[np.clip(i, 0, len(eight) - 1)]
-            left = np.where(before > 0, _pair(get(at - BEFORE), get(at - 8)) >> U(33) | U(1), U(0))
-            right = np.where(before < count, _pair(get(at + ANCHOR), get(at + ANCHOR + LENGTH - ANCHOR - BEFORE + 1 - 8)) >> U(33) | U(1), U(0))
-            sides = (left << U(32) | right).view(np.int64)
-            for k, v in zip(out, (start + a, count, before, key, run, sides, owner[start]), strict=True):
+            # The names of a run's strings, added up, name the run.
+            run = np.add.reduceat(mix(fifty[p]), first)
+            for k, v in zip(out, (p[first] + a, count, key, mix(key * _A + run), doc[p[first]]), strict=True):
                 out[k].append(v)
+        kinds = {"start": np.int64, "count": np.int64, "anchor": U, "run": U, "doc": np.int64}
         return {k: np.concatenate(v) if v else np.zeros(0, kinds[k]) for k, v in out.items()}
 
     def strings(self, start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(positions, both ranks) of the strings of runs, which are in order."""
+        """(positions, 50-byte names, 32 further bits of them) of the strings of runs, which are in order."""
         total = int(count.sum())
-        pos = np.repeat(start - np.cumsum(count) + count, count) + np.arange(total)
-        found = np.zeros((2, total), U)
+        pos = np.repeat(start - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(total) if total else np.zeros(0, np.int64)
+        found, more = np.zeros(total, U), np.zeros(total, np.uint32)
         for a in range(0, len(self.data), SLICE):
             lo, hi = np.searchsorted(pos, [a, a + SLICE])
             if hi > lo:
                 first, last = int(pos[lo]), int(pos[hi - 1])
-                for i in (0, 1):
-                    found[i, lo:hi] = ranks(self.data[first : last + LENGTH], LENGTH, bool(i))[2][pos[lo:hi] - first]
-        return pos, found[0], found[1]
+                found[lo:hi] = names(self.data[first : last + LENGTH])[1][pos[lo:hi] - first]
+                more[lo:hi] = names(self.data[first : last + LENGTH], True)[1][pos[lo:hi] - first].astype(np.uint32)
+        return pos, found, more
 
 
-def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about GATHERED bytes of text, or of one text."""
-    held, size = [], 0
-    for batch in batches:
-        start = 0
-        for i, n in enumerate(pc.binary_length(batch.column("text")).to_pylist()):
-            if size and size + n > GATHERED:
-                held.append(batch.slice(start, i - start))
-                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-                held, size, start = [], 0, i
-            size += n
-        held.append(batch.slice(start))
-    if held:
-        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+def _firsts(sorted_: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]])) if len(sorted_) else np.zeros(0, np.int64)
 
 
-def _firsts(*sorted_: np.ndarray) -> np.ndarray:
-    """Where a new value of sorted rows begins."""
-    new = np.zeros(len(sorted_[0]), bool)
-    new[:1] = True
-    for x in sorted_:
-        new[1:] |= x[1:] != x[:-1]
-    return new
+def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix(key) % U(buckets)).astype(np.int64)
 
 
-def _places(start: np.ndarray, count: np.ndarray, before: np.ndarray) -> np.ndarray:
-    """A run in its text as one number. A string is a run of one."""
-    return start * 1024 + count * 32 + before
+def _split(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    if not len(bucket):
+        return
+    order = np.argsort(bucket, kind="stable")
+    edges = _firsts(bucket[order])
+    for a, b in zip(edges, [*edges[1:], len(order)], strict=True):
+        yield int(bucket[order[a]]), order[a:b]
 
 
-BUCKETS = 64
-#: Bytes of an anchor's rank that are sent; its bucket adds 6 bits or more. Ranks that are taken for equal only stay open.
-SENT = 5
-ASKS = "bucket int, block int, ranks binary"
-_ASKS = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("ranks", pa.binary())])
-ANSWERS = "block int, bucket int, shared binary"
+def _short(x: np.ndarray, size: int) -> bytes:
+    """The lowest bytes of little-endian integers."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size]).tobytes()
 
 
-def _bucket(rank: np.ndarray, buckets: int) -> np.ndarray:
-    return (mix(rank) % U(buckets)).astype(np.int64)
+def _long(raw: bytes, size: int) -> np.ndarray:
+    out = np.zeros((len(raw) // size, 8), np.uint8)
+    out[:, :size] = np.frombuffer(raw, np.uint8).reshape(-1, size)
+    return out.reshape(-1).view("<u8").astype(U)
 
 
-def _split(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(bucket, places of its ranks), in the order that the answers will have."""
-    order = np.argsort(bucket, kind="stable")
-    edges = np.flatnonzero(_firsts(bucket[order]))
-    for a, b in zip(edges, np.append(edges[1:], len(order)), strict=True):
-        yield int(bucket[order[a]]), order[a:b]
+def _doc_bytes(ids: np.ndarray) -> tuple[int, int, bytes]:
+    """Ids as differences from the least, in four bytes if they fit."""
+    base = int(ids.min()) if len(ids) else 0
+    off = ids.astype(U) - U(base & (2**64 - 1))
+    width = 4 if not len(off) or int(off.max()) < 2**32 else 8
+    return base, width, _short(off, width)
+
 
+def _doc_ids(base: int, width: int, raw: bytes) -> np.ndarray:
+    return (_long(raw, width) + U(base & (2**64 - 1))).view(np.int64)
 
-def _batch(table: pa.Table) -> pa.RecordBatch:
-    return table.combine_chunks().to_batches()[0]
 
+#: Bytes of an anchor's name that are sent; its bucket adds 6 bits or more. Runs are compared under one anchor, by all 8 bytes of their names.
+ANCHOR_BYTES, RUN_BYTES = 5, 8
+ASKED = "bucket int, block int, anchors binary, names binary, base long, width int, docs binary"
+_ASKED = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("anchors", pa.binary()), ("names", pa.binary()), ("base", pa.int64()), ("width", pa.int32()), ("docs", pa.binary())])
+ANSWERED = "block int, bucket int, codes binary"
+ALONE, REMOVED, GOES_ON = 0, 1, 2
 
-def _ask(buckets: int) -> Callable[[pa.Table], pa.Table]:
-    """A block's distinct anchors, by bucket."""
 
+def _texts(table: pa.Table) -> Texts:
+    return Texts(table.column("doc_id").to_pylist(), [t if isinstance(t, bytes) else t.encode("utf-8", "surrogatepass") for t in table.column("text").to_pylist()])
+
+
+def _classes(runs: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(order of runs by name and document, first run of each name in it)."""
+    order = np.argsort(runs["run"], kind="stable")  # runs come in order of document
+    return order, _firsts(runs["run"][order])
+
+
+def _ask_runs(buckets: int):
     def run(table: pa.Table) -> pa.Table:
-        rank = np.unique(Texts(_batch(table)).anchors())
+        texts = _texts(table)
+        runs = texts.runs()
+        order, first = _classes(runs)
+        first = order[first]
+        key, name, doc = runs["anchor"][first], runs["run"][first], texts.ids[runs["doc"][first]] if len(first) else np.zeros(0, np.int64)
         number, out = table.column("block")[0].as_py(), []
-        for bucket, at in _split(_bucket(rank, buckets)):
-            short = rank[at].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :SENT]
-            out.append({"bucket": bucket, "block": number, "ranks": short.tobytes()})
-        return pa.Table.from_pylist(out, schema=_ASKS)
+        for bucket, at in _split(_bucket(key, buckets)):
+            out.append((bucket, number, _short(key[at], ANCHOR_BYTES), _short(name[at], RUN_BYTES), *_doc_bytes(doc[at])))
+        return pa.Table.from_pylist([dict(zip(_ASKED.names, r, strict=True)) for r in out], schema=_ASKED)
 
     return run
 
 
-def _answer(table: pa.Table) -> pa.Table:
-    """For each rank of a bucket, in the order it was asked about, a bit: whether several blocks have it."""
-    asked = table.column("ranks").to_pylist()
-    raw = np.frombuffer(b"".join(asked), np.uint8).reshape(-1, SENT)
-    rank = np.zeros((len(raw), 8), np.uint8)
-    rank[:, :SENT] = raw
-    _, place, count = np.unique(rank.reshape(-1).view("<u8"), return_inverse=True, return_counts=True)
-    shared = count[place] > 1
-    ends = np.cumsum([len(x) // SENT for x in asked])
-    bits = [np.packbits(shared[a:b]).tobytes() for a, b in zip([0, *ends[:-1]], ends, strict=True)]
-    return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "shared": pa.array(bits, pa.binary())})
+def _gathered(table: pa.Table, column: str, size: int) -> np.ndarray:
+    return np.concatenate([_long(x, size) for x in table.column(column).to_pylist()])
 
 
-#: (rank, pair) and the runs, ``data``, that a text (order, tie) has of it: asked about, removed, or the first of their kind.
-RANKED = "kind int, rank long, pair long, sides long, order long, tie long, data binary"
-_RANKED = pa.schema([("kind", pa.int32()), ("rank", pa.int64()), ("pair", pa.int64()), ("sides", pa.int64()), ("order", pa.int64()), ("tie", pa.int64()), ("data", pa.binary())])
-ASKED, REMOVED, FIRST = 0, 1, 2
+def _codes_back(table: pa.Table, codes: np.ndarray, size: int, column: str) -> pa.Table:
+    ends = np.cumsum([len(x) // size for x in table.column(column).to_pylist()])
+    raw = codes.astype(np.uint8).tobytes()
+    parts = [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+    return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "codes": pa.array(parts, pa.binary())})
 
 
-def _rows(kind: int, rank: np.ndarray, pair: np.ndarray, sides: np.ndarray, order: np.ndarray, tie: np.ndarray, at: np.ndarray, new: np.ndarray) -> pa.RecordBatch:
-    """A row for each stretch of sorted runs that begins where ``new`` is, with all of its runs."""
-    first = np.flatnonzero(new)
-    edges = pa.py_buffer((np.append(first, len(at)) * 8).astype(np.int32))
-    data = pa.Array.from_buffers(pa.binary(), len(first), [None, edges, pa.py_buffer(np.ascontiguousarray(at, np.int64))])
-    own = [pa.array(c[first].view(np.int64)) for c in (rank, pair, sides, order, tie)]
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(first), kind, np.int32)), *own, data], schema=_RANKED)
+def _all_docs(table: pa.Table) -> np.ndarray:
+    return np.concatenate([_doc_ids(*x) for x in zip(*(table.column(c).to_pylist() for c in ("base", "width", "docs")), strict=True)])
 
 
-def _combined(rank: np.ndarray, pair: np.ndarray, sides: np.ndarray, at: np.ndarray, text: np.ndarray, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Settle a batch's rank pairs as far as it goes: later documents lose them, the first asks about them."""
-    if not len(rank):
-        return
-    order, tie = (batch.column(c).to_numpy() for c in ("order", "tie"))
-    by = np.lexsort((at, text, order[text], pair, rank))
-    rank, pair, sides, at, text = rank[by], pair[by], sides[by], at[by], text[by]
-    new = _firsts(rank, pair)
-    later = order[text] > order[text[np.flatnonzero(new)]][np.cumsum(new) - 1]
-    if later.any():
-        gone = np.flatnonzero(later)
-        gone = gone[np.argsort(text[gone], kind="stable")]
-        # No name: these rows are dealt by their document.
-        yield _rows(REMOVED, order[text[gone]], tie[text[gone]], np.zeros(len(gone), np.int64), order[text[gone]], tie[text[gone]], at[gone], _firsts(text[gone]))
-    rank, pair, sides, at, text = rank[~later], pair[~later], sides[~later], at[~later], text[~later]
-    new = np.flatnonzero(_firsts(rank, pair, text))
-    for a in range(0, len(new), 1 << 16):
-        lo, hi = new[a], len(at) if a + (1 << 16) >= len(new) else new[a + (1 << 16)]
-        part = slice(lo, hi)
-        yield _rows(ASKED, rank[part], pair[part], sides[part], order[text[part]], tie[text[part]], at[part], _firsts(rank[part], pair[part], text[part]))
-
-
-def _runs_of(buckets: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """The rank pairs of the runs at the open anchors of a block."""
-
-    def run(table: pa.Table, answers: pa.Table) -> pa.Table:
+def _rank_runs(table: pa.Table) -> pa.Table:
+    """Sort a bucket's runs by anchor, name and document: which are removed, and which go on."""
+    key, name, doc = _gathered(table, "anchors", ANCHOR_BYTES), _gathered(table, "names", RUN_BYTES), _all_docs(table)
+    order = np.lexsort((doc, name, key))
+    k, n, d = key[order], name[order], doc[order]
+    new_key = np.concatenate([[True], k[1:] != k[:-1]])
+    new_name = new_key | np.concatenate([[True], n[1:] != n[:-1]])
+    group, cls = np.cumsum(new_key) - 1, np.cumsum(new_name) - 1
+    least = d[np.flatnonzero(new_name)][cls]
+    classes = np.bincount(group[new_name])[group]
+    codes = np.empty(len(order), np.uint8)
+    codes[order] = np.where(d > least, REMOVED, np.where(classes > 1, GOES_ON, ALONE))
+    return _codes_back(table, codes, ANCHOR_BYTES, "anchors")
+
+
+#: What the second round gives: finished documents, with what they keep, whole documents that wait for their strings, and the strings.
+SECOND = "kind int, block int, bucket int, doc_id long, n_bytes long, data binary, spans array<long>, strings array<long>, names binary, base long, width int, docs binary"
+_SECOND = pa.schema([("kind", pa.int32()), ("block", pa.int32()), ("bucket", pa.int32()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("data", pa.binary()), ("spans", pa.list_(pa.int64())), ("strings", pa.list_(pa.int64())), ("names", pa.binary()), ("base", pa.int64()), ("width", pa.int32()), ("docs", pa.binary())])
+DONE, OPEN, STRINGS = 0, 1, 2
+
+
+def _answers(table: pa.Table) -> dict[int, np.ndarray]:
+    return {b: np.frombuffer(c, np.uint8) for b, c in zip(table.column("bucket").to_pylist(), table.column("codes").to_pylist(), strict=True)}
+
+
+def _covered(start: np.ndarray, count: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Maximal stretches (first, last + 1) of n bytes that the strings of runs cover."""
+    step = np.zeros(n + 1, np.int32)
+    np.add.at(step, start, 1)
+    np.add.at(step, start + count + (LENGTH - 1), -1)
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], np.cumsum(step)[:n] > 0, [False]]).astype(np.int8)))
+    return edge[::2], edge[1::2]
+
+
+def _by_doc(texts: Texts, first: np.ndarray, last: np.ndarray) -> list[list[int]]:
+    """Stretches as [first, last + 1, ...] within each document; one that goes on in the next document is cut."""
+    out: list[list[int]] = [[] for _ in texts.texts]
+    doc = np.searchsorted(texts.ends, first, side="right")
+    for d, a, b in zip(doc.tolist(), first.tolist(), last.tolist(), strict=True):
+        while a < b:
+            end = min(b, int(texts.ends[d]))
+            if end > a:
+                out[d] += [a - int(texts.starts[d]), end - int(texts.starts[d])]
+            a, d = end, d + 1
+    return out
+
+
+def _kept(text: bytes, spans: list[int]) -> bytes:
+    edges = [0, *spans, len(text)]
+    return b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)) if spans else text
+
+
+def _settle_runs(buckets: int):
+    def run(table: pa.Table, answered: pa.Table) -> pa.Table:
         if not table.num_rows:
-            return _RANKED.empty_table()
-        batch = _batch(table)
-        texts = Texts(batch)
-        got = dict(zip(answers.column("bucket").to_pylist(), answers.column("shared").to_pylist(), strict=True))
-        r = texts.runs()
-        rank, place, count = np.unique(r["anchor"], return_inverse=True, return_counts=True)
-        open_ = count > 1
-        for bucket, at in _split(_bucket(rank, buckets)):
-            open_[at] |= np.unpackbits(np.frombuffer(got[bucket], np.uint8), count=len(at)).astype(bool)
-        on = open_[place]
-        text = r["text"][on]
-        at = _places(r["start"][on] - texts.starts[text], r["count"][on], r["before"][on])
-        found = _combined(r["anchor"][on], r["run"][on], r["sides"][on], at, text, batch)
-        return pa.Table.from_batches(list(found), schema=_RANKED)
+            return _SECOND.empty_table()
+        texts, got, number = _texts(table), _answers(answered), table.column("block")[0].as_py()
+        runs = texts.runs()
+        order, first = _classes(runs)
+        code = np.zeros(len(first), np.uint8)
+        for bucket, at in _split(_bucket(runs["anchor"][order[first]], buckets)):
+            code[at] = got[bucket]
+        cls = np.empty(len(order), np.int64)
+        cls[order] = np.repeat(np.arange(len(first)), np.diff(np.concatenate([first, [len(order)]])))
+        earlier = texts.ids[runs["doc"]] > texts.ids[runs["doc"][order[first]]][cls] if len(order) else np.zeros(0, bool)
+        gone = earlier | (code[cls] == REMOVED)
+        on = ~gone & (code[cls] == GOES_ON)
+        spans = _by_doc(texts, *_covered(runs["start"][gone], runs["count"][gone], len(texts.data)))
+        open_ = np.zeros(len(texts.texts), bool)
+        open_[runs["doc"][on]] = True
+        strings: list[list[int]] = [[] for _ in texts.texts]
+        for d, s, c in zip(runs["doc"][on].tolist(), (runs["start"][on] - texts.starts[runs["doc"][on]]).tolist(), runs["count"][on].tolist(), strict=True):
+            strings[d] += (s, c)
+        out = []
+        for i, t in enumerate(texts.texts):
+            out.append({"kind": OPEN if open_[i] else DONE, "block": number, "doc_id": texts.doc_ids[i], "n_bytes": len(t), "data": t if open_[i] else _kept(t, spans[i]), "spans": spans[i], "strings": strings[i]})
+        out += _asked_strings(texts, runs["start"][on], runs["count"][on], number, buckets)
+        return pa.Table.from_pylist(out, schema=_SECOND)
 
     return run
 
 
-def _decoded(ats: pa.Array) -> tuple[np.ndarray, ...]:
-    """(start, count, count of strings long before the anchor, row) of lists of packed runs."""
-    rows, parts = [], []
-    for i, found in enumerate(ats.to_pylist()):
-        for data in found or ():
-            parts.append(np.frombuffer(data, np.int64))
-            rows.append(np.full(len(parts[-1]), i))
-    at, row = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (parts, rows))
-    return at >> 10, at >> 5 & 31, at & 31, row
-
-
-def _strings_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rank pairs of the strings of the open sides of each text's runs."""
-    for batch in _gathered(batches):
-        texts = Texts(batch)
-        parts = []
-        for side in (0, 1):
-            start, count, before, row = _decoded(batch.column(f"side{side}"))
-            first, n = (start + before, count - before) if side else (start, before)
-            parts.append((first + texts.starts[row]) * 32 + n)
-        whole = np.unique(np.concatenate(parts))
-        pos, rank, pair = texts.strings(whole >> 5, whole & 31)
-        pair &= U(0xFFFFFFFF)  # the other 32 bits would cost more than they tell
-        text = np.searchsorted(texts.ends, pos, side="right")
-        none = np.zeros(len(pos), np.int64)
-        yield from _combined(rank, pair, none, _places(pos - texts.starts[text], np.int64(1), none), text, batch)
-
-
-def _reranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (rank, pair, order): the first document's are the first of their kind, all others are removed. Those that are removed already pass."""
-    last, least = (None, None), 0
-    for batch in batches:
-        done = pc.equal(batch.column("kind"), REMOVED)
-        if pc.any(done).as_py():
-            yield batch.filter(done)
-            batch = batch.filter(pc.invert(done))
-        if not batch.num_rows:
-            continue
-        rank, pair, order = (batch.column(c).to_numpy() for c in ("rank", "pair", "order"))
-        new = _firsts(rank, pair)
-        new[0] = (rank[0], pair[0]) != last
-        group = np.cumsum(new)
-        firsts = np.concatenate([[least], order[new]])
-        kind = np.where(order > firsts[group], REMOVED, FIRST).astype(np.int32)
-        last, least = (rank[-1], pair[-1]), int(firsts[group[-1]])
-        named = [pa.array(np.where(kind == FIRST, x, 0)) for x in (rank, pair)]  # what is removed needs no name any more
-        yield pa.RecordBatch.from_arrays([pa.array(kind), *named, *batch.columns[3:]], schema=_RANKED)
-
-
-def _sorted(rows: DataFrame) -> DataFrame:
-    """Spark sorts the rank pairs, and ranks them anew."""
-    return rows.repartition("rank", "pair").sortWithinPartitions("rank", "pair", "order").mapInArrow(_reranked, RANKED)
-
-
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = batch.column("text").to_pylist()
-        start, count, _, row = _decoded(batch.column("ats"))
-        edges = np.searchsorted(row, np.arange(len(texts) + 1))
-        kept, spans = [], []
-        for i, text in enumerate(texts):
-            data, part = text.encode("utf-8", "surrogatepass"), slice(edges[i], edges[i + 1])
-            spans.append(_stretches(start[part], start[part] + count[part] + (LENGTH - 1)))
-            around = [0, *spans[-1], len(data)]
-            kept.append(b"".join(data[a:b] for a, b in zip(around[::2], around[1::2], strict=True)))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pc.binary_length(batch.column("text").cast(pa.binary())).cast(pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
-
-
-def _stretches(first: np.ndarray, last: np.ndarray) -> list[int]:
-    """Maximal stretches [first, last + 1, ...] that intervals cover; those that touch are one."""
-    if not len(first):
-        return []
-    by = np.argsort(first, kind="stable")
-    first, upto = first[by], np.maximum.accumulate(last[by])
-    new = np.append(True, first[1:] > upto[:-1])
-    return np.stack([first[new], upto[np.append(np.flatnonzero(new)[1:] - 1, len(upto) - 1)]], axis=1).ravel().tolist()
-
-
-def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
+def _first_strings(texts: Texts, start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(positions, distinct names, their further bits, each position's index among them, the first document of each name)."""
+    pos, name, more = texts.strings(start, count)
+    order = np.lexsort((more, name))  # stable, so equal names stay in the order of their documents
+    name, more = name[order], more[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (name[1:] != name[:-1]) | (more[1:] != more[:-1])
+    place = np.empty(len(order), np.int64)
+    place[order] = np.cumsum(new) - 1
+    first = pos[order[new]]
+    return pos, name[new], more[new], place, texts.ids[np.searchsorted(texts.ends, first, side="right")] if len(pos) else np.zeros(0, np.int64)
+
+
+def _asked_strings(texts: Texts, start: np.ndarray, count: np.ndarray, number: int, buckets: int) -> list[dict]:
+    _, distinct, more, _, doc = _first_strings(texts, start, count)
+    rows = []
+    for bucket, at in _split(_bucket(distinct, buckets)):
+        base, width, docs = _doc_bytes(doc[at])
+        rows.append({"kind": STRINGS, "block": number, "bucket": bucket, "names": distinct[at].tobytes(), "data": more[at].tobytes(), "base": base, "width": width, "docs": docs})
+    return rows
+
+
+def _rank_strings(table: pa.Table) -> pa.Table:
+    name, more, doc = _gathered(table, "names", 8), np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("data").to_pylist()]), _all_docs(table)
+    order = np.lexsort((doc, more, name))
+    n, m = name[order], more[order]
+    new = np.concatenate([[True], (n[1:] != n[:-1]) | (m[1:] != m[:-1])])
+    least = doc[order][np.flatnonzero(new)][np.cumsum(new) - 1]
+    codes = np.empty(len(order), np.uint8)
+    codes[order] = np.where(doc[order] > least, REMOVED, ALONE)
+    return _codes_back(table, codes, 8, "names")
+
+
+FOUND = "doc_id long, n_bytes long, data binary, spans array<long>"
+_FOUND = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("data", pa.binary()), ("spans", pa.list_(pa.int64()))])
+
+
+def _settle_strings(buckets: int):
+    def run(table: pa.Table, answered: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return _FOUND.empty_table()
+        got = _answers(answered)
+        ids, data = table.column("doc_id").to_pylist(), table.column("data").to_pylist()
+        order = np.argsort(np.array([LAST if d is None else d for d in ids], np.int64), kind="stable")
+        texts = Texts(ids, data)
+        spans, strings = table.column("spans").to_pylist(), table.column("strings").to_pylist()
+        start, count, gone_s, gone_c = [], [], [], []
+        for i, row in enumerate(order.tolist()):
+            s = np.array(strings[row], np.int64)
+            start.append(s[::2] + texts.starts[i])
+            count.append(s[1::2])
+            g = np.array(spans[row], np.int64)
+            # A stretch is LENGTH bytes or more: as many strings as bring it out again.
+            gone_s.append(g[::2] + texts.starts[i])
+            gone_c.append(g[1::2] - g[::2] - (LENGTH - 1))
+        pos, distinct, _, place, doc = _first_strings(texts, np.concatenate(start), np.concatenate(count))
+        code = np.zeros(len(distinct), np.uint8)
+        for bucket, at in _split(_bucket(distinct, buckets)):
+            code[at] = got[bucket]
+        own = texts.ids[np.searchsorted(texts.ends, pos, side="right")]
+        hit = (code[place] == REMOVED) | (own > doc[place])
+        more = pos[hit]
+        first, last = _covered(np.concatenate([*gone_s, more]), np.concatenate([*gone_c, np.ones(len(more), np.int64)]), len(texts.data))
+        return pa.Table.from_pylist([{"doc_id": d, "n_bytes": len(t), "data": _kept(t, s), "spans": s} for d, t, s in zip(texts.doc_ids, texts.texts, _by_doc(texts, first, last), strict=True)], schema=_FOUND)
+
+    return run
+
+
+def remove_repeats(docs: DataFrame, text: str = "text", block_bytes: int = 4 << 20) -> DataFrame:
     """Per document doc_id, n_bytes, n_removed, n_spans, spans ([first, last + 1, ...] of its maximal removed stretches), kept (the remaining bytes) and kept_sha256.
 
     A byte is removed if a string of 50 bytes covers it that also starts in a
@@ -387,38 +388,22 @@ def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     stash = Stash(spark, "suffix-dedup")
-    t, doc_id = text_or_empty(text), F.col("doc_id").cast("long")
-    tie: Column = F.xxhash64(t)
-    base = docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(int(LAST))).alias("order"), tie.alias("tie"), t.alias("text"))
-    long = base.where(F.octet_length("text") >= LENGTH)
-
-    n = blocks_for(docs, text, GATHERED)
+    n = blocks_for(docs, text, block_bytes)
     buckets = max(BUCKETS, n // 2)
-    blocks = long.select(F.pmod(F.xxhash64("order", "tie", F.lit(41)), F.lit(n)).cast("int").alias("block"), "order", "tie", "text")
-    asks = blocks.select("block", "text").groupBy("block").applyInArrow(_ask(buckets), ASKS)
-    answers = stash.keep(asks.groupBy("bucket").applyInArrow(_answer, ANSWERS), "anchors")
-
-    runs = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_runs_of(buckets), RANKED)
-    ranked = stash.keep(_sorted(runs), "runs")
-    stash.drop("anchors")
-
-    # A run with an anchor of its own has no unlike ones, so only the others' sides are compared.
-    left = ranked.where(F.col("kind") == FIRST).select("rank", "sides", "order", "tie", "data")
-    several = [F.count(F.lit(1)).alias("n"), F.min("order").alias("a"), F.max("order").alias("b")]
-    unlike = left.groupBy("rank").agg(*several).where("n > 1 and a < b").select("rank")
-    both = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.expr(how).alias("h")) for i, how in enumerate(("shiftright(sides, 32)", "sides & 4294967295"))])).alias("side")
-    sides = left.join(unlike, "rank", "left_semi").select("rank", "order", "tie", "data", both).where("side.h <> 0")
-    shared = sides.groupBy("rank", "side").agg(*several).where("n > 1 and a < b").select("rank", "side")
-    data = lambda i: F.collect_list(F.when(F.col("side.i") == i, F.col("data"))).alias(f"side{i}")
-    ats = sides.join(shared, ["rank", "side"], "left_semi").groupBy("order", "tie").agg(data(0), data(1))
-    strings = long.join(ats, ["order", "tie"]).select("order", "tie", "text", "side0", "side1").mapInArrow(_strings_of, RANKED)
-    gone = F.col("kind") == REMOVED
-    last = stash.keep(_sorted(strings).where(gone).select("order", "tie", "data"), "strings")
-
-    removed = ranked.where(gone).select("order", "tie", "data").unionByName(last).groupBy("order", "tie").agg(F.collect_list("data").alias("ats"))
-    found = base.join(removed, ["order", "tie"], "left").select("doc_id", "text", "ats").mapInArrow(_cut, "doc_id long, n_bytes long, spans array<long>, kept binary")
-    n = (F.col("n_bytes") - F.octet_length("kept")).cast("long")
-    return found.select("doc_id", "n_bytes", n.alias("n_removed"), (F.size("spans") / 2).cast("long").alias("n_spans"), "spans", "kept", F.sha2("kept", 256).alias("kept_sha256"))
+    blocks = with_blocks(docs, n, text)
+    asked = blocks.groupBy("block").applyInArrow(_ask_runs(buckets), ASKED)
+    ranked = stash.keep(asked.groupBy("bucket").applyInArrow(_rank_runs, ANSWERED), "runs")
+    second = blocks.groupBy("block").cogroup(ranked.groupBy("block")).applyInArrow(_settle_runs(buckets), SECOND)
+    second = stash.keep(second, "settled")
+    stash.drop("runs")
+    strings = second.where(F.col("kind") == STRINGS).select("bucket", "block", "names", "data", "base", "width", "docs")
+    ranked = stash.keep(strings.groupBy("bucket").applyInArrow(_rank_strings, ANSWERED), "strings")
+    waiting = second.where(F.col("kind") == OPEN).select("block", "doc_id", "data", "spans", "strings")
+    last = waiting.groupBy("block").cogroup(ranked.groupBy("block")).applyInArrow(_settle_strings(buckets), FOUND)
+    found = second.where(F.col("kind") == DONE).select("doc_id", "n_bytes", "data", "spans").unionByName(last)
+    # In the JVM: a second Python worker for each task would take its memory besides the first one's.
+    removed = F.col("n_bytes") - F.octet_length("data")
+    return found.select("doc_id", "n_bytes", removed.cast("long").alias("n_removed"), (F.size("spans") / 2).cast("long").alias("n_spans"), "spans", F.col("data").alias("kept"), F.sha2("data", 256).alias("kept_sha256"))
 
 
 def op4_sql() -> str:

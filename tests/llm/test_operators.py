@@ -218,16 +218,15 @@ def brute_repeats(rows):
         yield d, len(data), len(gone), sum(i - 1 not in gone for i in gone), hashlib.sha256(kept).hexdigest()
 
 
-@pytest.mark.parametrize("gathered", [suffix_dedup.GATHERED, 3000])
-def test_repeats_by_brute_force(spark, monkeypatch, gathered):
-    """Texts of shared pieces, cut anywhere, with rhythmic ones, repeated and missing ids and repeated rows; in one part and in many."""
-    monkeypatch.setattr(suffix_dedup, "GATHERED", gathered)
+@pytest.mark.parametrize("block_bytes", [4 << 20, 3000])
+def test_repeats_by_brute_force(spark, block_bytes):
+    """Texts of shared pieces, cut anywhere, with rhythmic ones, repeated and missing ids and repeated rows; in few blocks and in many."""
     rng = np.random.default_rng(5)
     pieces = ["".join(rng.choice(list("abcé "), rng.integers(20, 140))) for _ in range(20)] + ["x" * 200, "ab" * 90, "abc" * 60]
     texts = [None, "", "y" * 49, "y" * 50] + ["".join(pieces[rng.integers(len(pieces))][rng.integers(0, 15) :] for _ in range(rng.integers(1, 7))) for _ in range(250)]
     rows = [(None if rng.random() < 0.2 else int(rng.integers(1, 200)), t) for t in texts]
     rows += rows[:25]
-    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), block_bytes=block_bytes).collect()
     assert sorted(map(str, brute_repeats(rows))) == sorted(str((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)) for r in got)
     for r in got:
         assert r.n_removed == sum(b - a for a, b in zip(r.spans[::2], r.spans[1::2], strict=True)) and all(a < b for a, b in zip(r.spans, r.spans[1:]))
