@@ -36,6 +36,8 @@ BANDS, ROWS = 40, 6
 FIRST_BANDS = 8
 #: Buckets of so many documents are compared pair by pair, larger ones in parts of about so many.
 SMALL, PART = 32, 512
+#: Members of a large bucket that one task joins with what is known of the bucket, about.
+SPREAD = 256
 #: Shingles that are compared at once.
 STRIP = 2048
 
@@ -223,14 +225,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: int = 80, tex
             now = now.where(F.pmod(F.col("key"), F.lit(256)) < FIRST_BANDS)
         elif turn == 2:
             now = now.where(F.col("size") > SMALL)
-        unlike = now.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("key")
-        now = stash.keep(now.join(unlike, "key"), f"open-{turn}")
+        unlike = now.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.max("size").alias("size")).where("l0 <> l1").select("key", "size")
+        # A large bucket's members are joined in groups of about SPREAD, so no task gets them all.
+        now = now.withColumn("group", F.pmod(F.xxhash64("node", F.lit(3)), F.ceil(F.col("size") / SPREAD)).cast("int"))
+        now = stash.keep(now.join(_for_each_group(unlike).drop("size"), ["key", "group"]), f"open-{turn}")
         if turn < 2:
             every = F.lit(False) if turn == 0 else F.col("size") <= SMALL
-            hubs = now.where(every | (F.col("draw") < 1)).select("key", F.col("node").alias("hub"), F.col("n").alias("hn"), F.col("draw").alias("hdraw"), F.col("label").alias("la"))
+            hubs = now.where(every | (F.col("draw") < 1)).select("key", F.col("node").alias("hub"), F.col("n").alias("hn"), F.col("draw").alias("hdraw"), F.col("label").alias("la"), "size")
+            hubs = _for_each_group(hubs).drop("size")
             later = (F.col("draw") > F.col("hdraw")) | ((F.col("draw") == F.col("hdraw")) & (F.col("node") > F.col("hub")))
             near = (100 * F.least("n", "hn") >= similarity * F.greatest("n", "hn")) & (F.col("label") != F.col("la")) & later
-            pairs = now.join(hubs, "key").where(near).select("hub", "node", "la", F.col("label").alias("lb")).distinct()
+            pairs = now.join(hubs, ["key", "group"]).where(near).select("hub", "node", "la", F.col("label").alias("lb")).distinct()
             found = pairs.join(sets.select("node", F.col("set").alias("x")), "node").join(sets.select(F.col("node").alias("hub"), F.col("set").alias("y")), "hub").select("la", "lb", "x", "y").mapInArrow(_verified(similarity), "a long, b long")
         else:
             parts = F.ceil(F.col("size") / PART).cast("int")
@@ -257,6 +262,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: int = 80, tex
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def _for_each_group(rows: DataFrame) -> DataFrame:
+    """Rows about a bucket of ``size`` members, one for each of its groups; small buckets are one group."""
+    return rows.withColumn("group", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("size") / SPREAD) - 1).cast("int"))))
+
+
 def _relabelled(labels: DataFrame, merged: DataFrame) -> DataFrame:
     """Labels after their components have been merged."""
     to = merged.select(F.col("node").alias("label"), F.col("label").alias("__to"))
