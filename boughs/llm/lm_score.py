@@ -32,6 +32,8 @@ SYMBOLS = 257
 BITS = 9
 #: Positions that are sorted at once.
 SLICE = 1 << 18
+#: Keys of slices that are held before they are added up.
+MERGED = 1 << 20
 WORDS, GRAMS, PAIRS, TOTALS = 0, 1, 2, 3
 BUCKETS = 256
 
@@ -103,11 +105,18 @@ def _distinct(block: Block, train: np.ndarray) -> dict[int, tuple[np.ndarray, np
     words = np.unique(block.words, return_inverse=True)
     word_train = np.repeat(train, block.n_words)
     found = {WORDS: (words[0], np.bincount(words[1], word_train, len(words[0])).astype(np.int64))}
-    keys, counts = [np.zeros(0, U)], [np.zeros(0, np.int64)]
+    keys, counts, held, most = [np.zeros(0, U)], [np.zeros(0, np.int32)], 0, MERGED
     for distinct, place, doc in block.grams():
         keys.append(distinct)
-        counts.append(np.bincount(place, train[doc], len(distinct)).astype(np.int64))
-    found[GRAMS] = summed(np.concatenate(keys), np.concatenate(counts))
+        counts.append(np.bincount(place, train[doc], len(distinct)).astype(np.int32))
+        held += len(distinct)
+        if held > most:
+            # Slices have many keys in common, so adding them up on the way takes less memory.
+            merged = summed(np.concatenate(keys), np.concatenate(counts))
+            keys, counts, held = [merged[0]], [merged[1].astype(np.int32)], len(merged[0])
+            most = max(MERGED, 2 * held)
+    keys, counts = summed(np.concatenate(keys), np.concatenate(counts))
+    found[GRAMS] = keys, counts.astype(np.int64)
     return found
 
 
