@@ -287,6 +287,17 @@ class _Base:
             raise TypeError("summarize needs typed columns; see as_typed()")
         return self._next(typed.summarize(self.df, self.cursor, aggregates), None, True)
 
+    def fold(self, of: str | tuple, zero: Callable[[], object], step: Callable, merge: Callable, returns: str, finish: Callable = lambda state: state, name: str = "value") -> DataBranch:
+        """An aggregate of one's own, in Python: a state for each group of the projected values.
+
+        ``step(state, value)`` takes in the values at ``of``, ``merge(a, b)`` puts two states of a group together and
+        ``finish(state)`` gives the result, of the type ``returns``. Each task keeps the states of its own rows, so
+        what is shuffled is states; they have to be picklable. Groups are in the order of their keys.
+        """
+        if not self.typed:
+            raise TypeError("fold needs typed columns; see as_typed()")
+        return self._next(typed.fold(self.df, self.cursor, Path.parse_depth(of), zero, step, merge, finish, returns, name), None, True)
+
     def aggregate(self) -> DataBranch:
         """All values at the projection in one record, followed by the records that have none."""
         if self.typed:
@@ -570,7 +581,11 @@ def _index_error(e: PySparkException) -> IndexError | None:
 
 
 def _kept(df: DataFrame) -> DataFrame:
-    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.persist()
+    if df.sparkSession.conf.get("spark.checkpoint.dir", None):
+        return df.checkpoint()
+    kept = df.persist()
+    kept.__dict__.pop("_record_ops", None)  # what follows reads what is kept
+    return kept
 
 
 def _plain(value: object) -> object:

@@ -159,18 +159,45 @@ def explode(names: list[str], cursor: list[Depth]) -> Callable[[dict], Iterable]
     return op
 
 
+def plain(value: object) -> object:
+    """A value as JSON would give it back: fresh dicts and lists, text for names and for what JSON doesn't know."""
+    kind = type(value)
+    if kind is str or kind is int or kind is float or kind is bool or value is None:
+        return value
+    if isinstance(value, dict):
+        return {k if type(k) is str else next(iter(json.loads(json.dumps({k: None})))): plain(v) for k, v in value.items()}
+    if isinstance(value, list | tuple):
+        return [plain(v) for v in value]
+    return json.loads(json.dumps(value, default=str))
+
+
 def run(df: DataFrame, op: Callable[[dict], Iterable]) -> DataFrame:
-    """Apply a record operator to (position, JSON) rows. Several results of one record keep its position."""
+    """Apply a record operator to (position, JSON) rows. Several results of one record keep its position.
+
+    Operators that follow each other run as one: a record is read from JSON once
+    and written once, however many there are.
+    """
     ship_code(df.sparkSession)
-    kind = df.schema[POS].dataType.simpleString()
+    source, ops = getattr(df, "_record_ops", (df, ()))
+    ops = (*ops, op)
+    kind = source.schema[POS].dataType.simpleString()
+
+    def results(record: dict, todo: tuple) -> Iterator[object]:
+        if not todo:
+            yield record
+            return
+        for result in todo[0](record):
+            yield from results(plain(result), todo[1:])
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             at, out = [], []
             for i, text in enumerate(batch.column(DOC).to_pylist()):
-                for result in op(json.loads(text)):
+                for result in results(json.loads(text), ops):
                     at.append(i)
-                    out.append(json.dumps(result, ensure_ascii=False, default=str))
+                    out.append(json.dumps(result, ensure_ascii=False))
             yield pa.RecordBatch.from_arrays([batch.column(POS).take(pa.array(at, pa.int64())), pa.array(out, pa.string())], names=[POS, DOC])
 
-    return df.select(POS, DOC).mapInArrow(batches, f"{POS} {kind}, {DOC} string")
+    done = source.select(POS, DOC).mapInArrow(batches, f"{POS} {kind}, {DOC} string")
+    done._record_ops = (source, ops)
+    return done

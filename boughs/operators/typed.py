@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import pickle
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from boughs.functions import Native
 from boughs.plans.paths import Depth, compile_path, list_prefix, quoted, replaced, step, Found
+from boughs.session import ship_code
 
 from .order import POS
 
@@ -215,6 +219,55 @@ def summarize(df: DataFrame, cursor: Cursor, aggregates: dict[str, Column]) -> D
     return df.groupBy(*keys).agg(F.min(POS).alias(POS), *[c.alias(n) for n, c in aggregates.items()])
 
 
+#: Groups whose states a task holds before it passes them on.
+STATES = 100_000
+
+
+def fold(df: DataFrame, cursor: Cursor, of: Depth, zero: Callable, step: Callable, merge: Callable, finish: Callable, returns: str, name: str) -> DataFrame:
+    """Python aggregates: states by task, merged by key. A key has a row for each task, or for STATES groups of it, at most."""
+    ship_code(df.sparkSession)
+    several = cursor if isinstance(cursor, list) else [] if cursor is None else [cursor]
+    keys = [f"__k{i}" for i in range(len(several))]
+    rows = df.select(*[at(df, p).alias(k) for k, p in zip(keys, several, strict=True)], at(df, of, False).alias("__v"))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    made = rows.select(F.lit(None).cast(returns).alias(name)).schema[name].dataType
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        states: dict[str, list] = {}
+        schema = None
+
+        def passed() -> pa.RecordBatch:
+            found = list(states.values())
+            columns = [pa.array([f[0][i] for f in found], schema.field(i).type) for i in range(len(keys))]
+            return pa.RecordBatch.from_arrays([*columns, pa.array([pickle.dumps(f[1]) for f in found], pa.binary())], names=[*keys, "__state"])
+
+        for batch in batches:
+            schema = batch.schema
+            values = [c.to_pylist() for c in batch.columns]
+            for *key, value in zip(*values, strict=True):
+                code = repr(key)
+                if code not in states:
+                    states[code] = [key, zero()]
+                states[code][1] = step(states[code][1], value)
+            if len(states) > STATES:
+                yield passed()
+                states.clear()
+        if states:
+            yield passed()
+
+    def merged(table: pa.Table) -> pa.Table:
+        state, *rest = map(pickle.loads, table.column("__state").to_pylist())
+        for other in rest:
+            state = merge(state, other)
+        first = table.slice(0, 1)
+        return pa.Table.from_arrays([*[first.column(k) for k in keys], pa.array([finish(state)], to_arrow_type(made))], names=[*keys, name])
+
+    kinds = kinds + ", " if kinds else ""
+    found = rows.mapInArrow(partial, f"{kinds}__state binary").groupBy(*keys).applyInArrow(merged, f"{kinds}`{name}` {returns}")
+    pos = F.struct(*keys) if keys else F.lit(0)
+    return found.select(pos.alias(POS), *[F.col(k).alias(p[-1]) for k, p in zip(keys, several, strict=True)], name)
+
+
 def _all_null(col: Column, kind: T.DataType) -> Column:
     return col.isNull() | (F.forall(col, lambda x: x.isNull()) if isinstance(kind, T.ArrayType) else F.lit(False))
 
