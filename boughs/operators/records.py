@@ -147,9 +147,16 @@ def group_inside(path: Depth, name: str, target: str, recurse: bool) -> Callable
 
 
 def explode(names: list[str], cursor: list[Depth]) -> Callable[[dict], Iterable]:
-    """Rows of the projected values, one for each item of the first that is a list; the others repeat."""
+    """Rows of the projected values, one for each item of the first that is a list; the others repeat.
 
-    def op(record: dict) -> Iterable:
+    A record that a map has turned into a list is taken by position: a list for
+    each item of its first list. Any other value stays as it is.
+    """
+
+    def op(record: object) -> Iterable:
+        if not isinstance(record, dict):
+            at = next((i for i, v in enumerate(record) if isinstance(v, list)), None) if isinstance(record, list) else None
+            return (record,) if at is None else tuple([*record[:at], item, *record[at + 1 :]] for item in record[at])
         values = [look(record, p) for p in cursor]
         at = next((i for i, v in enumerate(values) if isinstance(v, list)), None)
         if at is None:

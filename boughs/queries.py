@@ -14,8 +14,8 @@ from boughs.core import DataTree
 from boughs.functions import flatten_column, isna, native
 from boughs.plans.schema import Leaf, Schema
 from boughs.plans.types import FunctionType, PrimitiveType
-from boughs.session import shared_folder
-from boughs.sources import files
+from boughs.session import shared_folder, ship_code
+from boughs.sources import files, paged
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -447,6 +447,14 @@ def explode_words(spark, sf_dir):
     return found.to_df().select(F.col("text").alias("word"), "conv_id")
 
 
+@_query("WITH e AS (SELECT CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events) SELECT k, unnest([k, -k]) AS x FROM e")
+def explode_list_rows(spark, sf_dir):
+    """Records that are lists, by position."""
+    tree = files.json_column(_table(spark, sf_dir, "events"), "props", "event_id")
+    found = tree.shallow(lambda r: [r["k"], [r["k"], -r["k"]]])[:, ["k", "x"]].explode().unproject().to_df()
+    return found.select(*[F.get_json_object("record", f"$[{i}]").cast("long").alias(n) for i, n in enumerate("kx")])
+
+
 # Records that differ in kind
 
 
@@ -528,6 +536,35 @@ def memory_records(spark, sf_dir):
     return tree.path(["n_nationkey", "n_name"]).as_typed("n_nationkey int, n_name string").to_df()
 
 
+def nation_pages(options: dict[str, str]) -> Callable:
+    """The nations, 25 at any scale, as a paged interface."""
+    import pyarrow.parquet as pq
+
+    rows = pq.read_table(f"{options['dir']}/nation.parquet", columns=["n_nationkey", "n_name"]).to_pylist()
+
+    def fetch(cursor: str | None, limit: int) -> dict:
+        upto = int(cursor or 0) + limit
+        return {"items": rows[upto - limit : upto], "cursor": str(upto) if upto < len(rows) else None}
+
+    return fetch
+
+
+@_query("SELECT n_nationkey, n_name FROM nation")
+def paged_source(spark, sf_dir):
+    """All items of all pages, seven a page."""
+    ship_code(spark)
+    spark.dataSource.register(paged.PagedSource)
+    rows = spark.read.format("paged").option("fetch", "boughs.queries:nation_pages").option("dir", sf_dir).option("limit", 7).load()
+    return DataTree.from_df(rows).path(["n_nationkey", "n_name"]).as_typed("n_nationkey int, n_name string").to_df()
+
+
+@_query("SELECT r_regionkey, r_name FROM region")
+def aggregate_nothing(spark, sf_dir):
+    """Without a projection, and with one that leads nowhere, aggregate changes nothing."""
+    tree = _tree(spark, sf_dir, "region", "r_regionkey")
+    return tree.aggregate()[:, "nowhere"].aggregate().path(["r_regionkey", "r_name"]).to_df()
+
+
 @_query("SELECT event_id AS id, event_type AS kind, row_number() OVER (ORDER BY event_id) - 1 AS place FROM events")
 def json_lines_files(spark, sf_dir):
     """JSON records written to files, read back in their order."""
