@@ -642,11 +642,11 @@ def _typed_call(df: DataFrame, cursor: Cursor, func: Callable, returns: str, ove
     kind = to_arrow_type(T.StringType() if free else made)
 
     @F.arrow_udf(f"struct<keep: boolean, value: {'string' if free else returns}>")
-    def call(packed: pa.Array) -> pa.Array:
+    def call(*columns: pa.Array) -> pa.Array:
         keep, value = [], []
-        for row in packed.to_pylist():
-            given = list(row.values())
-            result = func(given if several else given[0])
+        given = [c.to_pylist() for c in columns]
+        for one in map(list, zip(*given, strict=True)) if several else given[0]:
+            result = func(one)
             is_bool = isinstance(result, bool)
             if result is True and not keeps:
                 raise ValueError(f"True keeps a value that isn't of the type {returns}; with returns='variant' both can be")
@@ -654,7 +654,7 @@ def _typed_call(df: DataFrame, cursor: Cursor, func: Callable, returns: str, ove
             value.append(None if is_bool else json.dumps(result, ensure_ascii=False, default=str) if free else result)
         return pa.StructArray.from_arrays([pa.array(keep, pa.bool_()), pa.array(value, kind)], names=["keep", "value"])
 
-    done = df.withColumn("__c", call(F.struct(*[a.alias(f"a{i}") for i, a in enumerate(typed.arguments(df, cursor))]))).where("__c.keep is null or __c.keep")
+    done = df.withColumn("__c", call(*typed.arguments(df, cursor))).where("__c.keep is null or __c.keep")
     if cursor is None:
         return done.drop("__c")
     value = F.parse_json("__c.value") if free else F.col("__c.value")
