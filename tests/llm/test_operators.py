@@ -181,7 +181,7 @@ def test_limits_of_sparse_metrics_adapt(spark):
 def test_sketches_merge(spark, sf_dir):
     """Sketches of parts, added up, are those of the whole, and so their limits; a bin holds values up to 1/16 apart."""
     docs = table(spark, sf_dir, "documents")
-    figures = quality_rules.base_figures(docs).where("not base_failed").drop("text")
+    figures = quality_rules.base_figures(docs).where("not base_failed").drop("text").persist()
     by = ["lang", "source"]
     whole = quality_rules.sketch(figures, by)
     parts = quality_rules.sketch(figures.where("doc_id % 3 = 0"), by).unionByName(quality_rules.sketch(figures.where("doc_id % 3 > 0"), by))
