@@ -7,10 +7,11 @@ callables. Fields are read natively where a query only projects (see core.py).
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from boughs.plans.paths import Depth
 from boughs.session import ship_code
@@ -184,10 +185,22 @@ def run(df: DataFrame, op: Callable[[dict], Iterable]) -> DataFrame:
     Operators that follow each other run as one: a record is read from JSON once
     and written once, however many there are.
     """
-    ship_code(df.sparkSession)
     source, ops = getattr(df, "_record_ops", (df, ()))
     ops = (*ops, op)
+    done = _passed(source, ops)
+    done._record_ops = (source, ops)
+    return done
+
+
+def keyed(df: DataFrame, wanted: list[Depth]) -> DataFrame:
+    """(position, JSON, ``__k0``, ...) rows: records with the texts of their keys, found in the pass of the operators before."""
+    return _passed(*getattr(df, "_record_ops", (df, ())), wanted)
+
+
+def _passed(source: DataFrame, ops: tuple, wanted: Sequence[Depth] = ()) -> DataFrame:
+    ship_code(source.sparkSession)
     kind = source.schema[POS].dataType.simpleString()
+    names = [f"__k{i}" for i in range(len(wanted))]
 
     def results(record: dict, todo: tuple) -> Iterator[object]:
         if not todo:
@@ -198,13 +211,28 @@ def run(df: DataFrame, op: Callable[[dict], Iterable]) -> DataFrame:
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            at, out = [], []
+            at, out, keys = [], [], [[] for _ in names]
             for i, text in enumerate(batch.column(DOC).to_pylist()):
                 for result in results(json.loads(text), ops):
                     at.append(i)
                     out.append(json.dumps(result, ensure_ascii=False))
-            yield pa.RecordBatch.from_arrays([batch.column(POS).take(pa.array(at, pa.int64())), pa.array(out, pa.string())], names=[POS, DOC])
+                    for found, path in zip(keys, wanted, strict=True):
+                        found.append(group_key(look(result, path)))
+            texts = [pa.array(column, pa.string()) for column in (out, *keys)]
+            yield pa.RecordBatch.from_arrays([batch.column(POS).take(pa.array(at, pa.int64())), *texts], names=[POS, DOC, *names])
 
-    done = source.select(POS, DOC).mapInArrow(batches, f"{POS} {kind}, {DOC} string")
-    done._record_ops = (source, ops)
-    return done
+    return source.select(POS, DOC).mapInArrow(batches, f"{POS} {kind}" + "".join(f", {n} string" for n in (DOC, *names)))
+
+
+def assembled(parts: dict[str, Column]) -> Column:
+    """A record as JSON from the JSON of its fields. It is put together in the JVM, so that Python never holds a whole group."""
+    out = [F.lit("{")]
+    for name, text in parts.items():
+        out += [F.lit(", " * (len(out) > 1) + json.dumps(name, ensure_ascii=False) + ": "), text]
+    return F.concat(*out, F.lit("}"))
+
+
+def listed() -> Column:
+    """An aggregate: the JSON of a group's rows as a list, in the order of their positions."""
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct(F.col(POS).alias("p"), F.col(DOC).alias("d")))), lambda x: x["d"])
+    return F.concat(F.lit("["), F.array_join(ordered, ", "), F.lit("]"))

@@ -489,8 +489,18 @@ def mixed_paths(spark, sf_dir):
 
 @_query("SELECT CASE event_id % 3 WHEN 0 THEN event_type END AS kind, count(*) AS n FROM events GROUP BY ALL")
 def mixed_group(spark, sf_dir):
-    groups = _mixed(spark, sf_dir)[:, "kind"].group_by().as_typed("kind string, members array<struct<id: long>>").to_df()
-    return groups.select("kind", F.size("members").cast("long").alias("n"))
+    """Sizes of a few groups that grow with the table, so their records aren't collected."""
+    groups = _mixed(spark, sf_dir)[:, "kind"].summarize({"n": F.count(F.lit(1))})
+    return groups.as_typed("kind string, n long").to_df()
+
+
+@_query("SELECT conv_id, count(*) AS n, string_agg(coalesce(role, '-'), ',' ORDER BY role NULLS FIRST) AS roles FROM conversations GROUP BY conv_id")
+def record_groups(spark, sf_dir):
+    """JSON records in groups that don't grow with the table."""
+    rows = _table(spark, sf_dir, "conversations").select("turn", F.to_json(F.struct("conv_id", "turn", "role")).alias("j"))
+    groups = files.json_column(rows, "j", "turn")[:, "conv_id"].group_by().as_typed("conv_id long, members array<struct<role: string>>").to_df()
+    roles = F.transform(F.sort_array("members.role"), lambda r: F.coalesce(r, F.lit("-")))
+    return groups.select("conv_id", F.size("members").cast("long").alias("n"), F.array_join(roles, ",").alias("roles"))
 
 
 @_query("SELECT CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE CAST(json_extract(props, '$.k') AS BIGINT) > 50")

@@ -35,3 +35,8 @@ def test_filters_and_columns_reach_the_scan(spark, sf_dir):
     found = plan(own.filter_native(spark, sf_dir))
     assert "GreaterThan(l_quantity,45.0)" in found
     assert "l_comment" not in found and "l_shipdate" not in found
+
+
+def test_sizes_of_groups_collect_no_records(spark, sf_dir):
+    found = plan(own.mixed_group(spark, sf_dir))
+    assert "partial_count" in found and "collect_list" not in found and found.count("MapInArrow") == 1
